@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import bpe, leakage, repeated_lines
+from tidewrack.llm import bpe, encoding, leakage, main_content, repeated_lines, spam, templates
 from tidewrack.session import table
 
 #: Folder of the public vocabulary files.
@@ -23,6 +23,30 @@ def p1_clean_text(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, d, "fetches"))
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, d, "fetches"), "fetch_id", {"content": ("content", True), "title": ("parsed_data.title", False)})
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("fetch_id", "field")
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_content.find_main_lines(table(spark, d, "fetches"), table(spark, d, "common_words"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return templates.find_residue(table(spark, d, "fetches"), table(spark, d, "common_words"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.find_stuffed(table(spark, d, "fetches"), table(spark, d, "common_words"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -43,6 +67,11 @@ def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean_text": p1_clean_text,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p8_lengths": p8_lengths,
     "p9_found": p9_found,
