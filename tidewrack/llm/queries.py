@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import bpe, encoding, leakage, main_content, repeated_lines, spam, templates
+from tidewrack.llm import bpe, encoding, leakage, main_content, quality, repeated_lines, spam, templates
 from tidewrack.session import table
 
 #: Folder of the public vocabulary files.
@@ -64,6 +64,14 @@ def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("windows").alias("n_windows"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.find_not_prose(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean_text": p1_clean_text,
@@ -76,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_lengths": p8_lengths,
     "p9_found": p9_found,
     "p9_leaked_items": p9_leaked_items,
+    "p10_found": p10_found,
+    "p10_stats": p10_stats,
 }
 
 _LINES = r"""
