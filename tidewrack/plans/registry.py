@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.plans import general
+from tidewrack.plans import general, graph, operations, web
 
-MODULES = [general]
+MODULES = [general, web, graph, operations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return general.p2_domain_rollup(spark, sf_dir)
+    return graph.flagship(spark, sf_dir)
