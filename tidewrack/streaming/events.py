@@ -16,14 +16,15 @@ from tidewrack.functions import urls
 
 
 def first_urls(pages: DataFrame, ts: str = "fetched_at", watermark: str = "10 days") -> DataFrame:
-    """Pages whose canonical url wasn't seen within the watermark."""
-    return pages.withColumn("canonical", urls.canonical("url")).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["canonical"])
+    """Pages whose canonical url wasn't seen within the watermark. Event times become timestamps, which
+    watermarks need."""
+    return pages.withColumns({"canonical": urls.canonical("url"), ts: F.col(ts).cast("timestamp")}).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["canonical"])
 
 
 def report(events: DataFrame, ts: str = "ts", every: str = "30 seconds", watermark: str = "10 days") -> DataFrame:
     """Pages, errors and characters per window and domain."""
     return (
-        events.withWatermark(ts, watermark).groupBy(F.window(ts, every), "domain")
+        events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark).groupBy(F.window(ts, every), "domain")
         .agg(F.count_if("ok").alias("pages"), F.count_if(~F.col("ok")).alias("errors"), F.sum("content_length").alias("characters"))
     )
 
