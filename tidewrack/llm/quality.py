@@ -26,19 +26,21 @@ SPARSE = frozenset({"pl", "ru"})
 
 WORD = re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[^\w\s.,!?'\"“”’‘«»„…、。，！？；：:;()\-–—·「」『』（）]")
-END = re.compile(r"[.!?…。！？:;：；][\s\"'”“’»)\]」』]*$")
+PARAGRAPH = re.compile(r"\n\s*\n")
+#: Marks at the end of a sentence or line, and what may stand behind them.
+ENDS, BEHIND = frozenset(".!?…。！？:;：；"), " \t\n\r\"'”“’»)]」』\u00a0\u3000"
 BULLET = re.compile(r"\s*(?:[-*+•·◦▪‣]|\(?\d{1,4}[.)]|\[[ xX]?\]|[a-zA-Z][.)])\s+\S")
 LOG = re.compile(r"\s*(?:\[?\d{2,4}[-/:.]\d{1,2}[-/:.]\d{1,4}\b.*\b(?:INFO|WARN(?:ING)?|ERROR|DEBUG|TRACE|FATAL|GET|POST|PUT)\b|(?:INFO|WARN(?:ING)?|ERROR|DEBUG|TRACE|FATAL)\b|\S+ \S+ \S+ \[\d)")
 CODE = re.compile(r"^\s*(?:\S+\s+){0,8}\S*[{}]\s*(?:else\b.*)?$|^[^.!?]*[()=<>\[\]\"'$_/\\][^.!?]*;\s*$|[{}]\)?;|^\s*(?:def|class|return|import|from|if|for|while|else|elif|try|except|function|var|let|const|public|private|static|void|int|fn|func|package|use|struct|end)\b[^.?!]*[:{};()=]\s*$|^\s*(?://|/\*|#include|#!|\}\)?)|^\s*[\w.\[\]$]+(?:\([^)]*\))?\s*(?:=|\+=|:=|=>|->)\s*\S|^\s*[\w.$]+\([^)]*\);?\s*$|^\s*</?\w+[^>]*>\s*$|^\s*&\w+;|^\s*[.#@]?[\w-]+\s*\{")
-CODE_SIGN = re.compile(r"[{}=<>&;#$/]|[:()]\s*$|^\s*\.")
-SEPARATORS = re.compile(r"[\t|;,；，、].*[\t|;,；，、]| {3}\S.* {3}")
+CODE_SIGN = re.compile(r"[{}=<>&;#$/():]|^\s*\.")
 LINK = re.compile(r"\s*\w+://\S+\s*$")
-CELLS = re.compile(r"\t|\s*\|\s*| {3,}|[;,](?:\s|(?=\S))|；|，|、")
+SEPARATOR = re.compile(r"[\t|;,；，、]| {3,}")
 HARD = re.compile(r"\t|\||;| {3,}|；")
 WIDE = re.compile("[぀-ヿ㐀-鿿]")
 WIDE_SIGN = re.compile("[，、。！？はがをにで了在的]")
-STOP = re.compile(r"(?<=[.!?…。！？])[\"'”’»)」』]*(?:\s+|(?<=[。！？])|$)")
-VOWEL = re.compile("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœąęóаеёиоуыэюяієїαεηιουω]", re.I)
+STOP = re.compile(r"[.!?…][\"'”“’»)」』]*\s+|[。！？][\"'”“’»)」』]*\s*")
+#: Vowels of the Latin and Cyrillic alphabets.
+VOWELS, MORE_VOWELS = "aeiouy", "àáâãäåæèéêëìíîïòóôõöøùúûüýœąęаеёиоуыэюяієїαεηιουω"
 
 STATS = [
     ("has_text", pa.bool_(), T.BooleanType()), ("n_words", pa.int64(), T.LongType()), ("mean_word_length", pa.float64(), T.DoubleType()), ("symbol_ratio", pa.float64(), T.DoubleType()),
@@ -59,8 +61,13 @@ class Lists:
     def enough(self, words: list[str]) -> bool:
         """Are there as many function words as sentences of some language have?"""
         n = len(words)
-        hits = Counter(w for w in words if w in self.all)
-        return any(sum(c for w, c in hits.items() if w in own) >= (FUNCTION_SPARSE if k in SPARSE else FUNCTION) * n for k, own in self.by.items()) if hits else False
+        hits = list(filter(self.all.__contains__, words))
+        return len(hits) >= min(FUNCTION, FUNCTION_SPARSE) * n and any(sum(map(own.__contains__, hits)) >= (FUNCTION_SPARSE if k in SPARSE else FUNCTION) * n for k, own in self.by.items())
+
+
+def ends(line: str) -> bool:
+    """Does a line end in a mark of the end of a sentence or clause?"""
+    return line.rstrip(BEHIND)[-1:] in ENDS and line != ""
 
 
 def unwrap(lines: list[str]) -> list[str]:
@@ -82,9 +89,9 @@ def unwrap(lines: list[str]) -> list[str]:
                     break
                 widest = max(widest, len(other.strip()))
         joins = last and len(last) >= max(28, 0.6 * min(widest, 120)) and widest <= 120 and not HARD.search(last)
-        if joins and (not END.search(last) or len(last) >= 0.7 * widest and s[0].islower()):
+        if joins and (not ends(last) or len(last) >= 0.7 * widest and s[0].islower()):
             out[-1] += " " + s
-        elif joins and END.search(last) and widest >= 30:
+        elif joins and ends(last) and widest >= 30:
             out[-1] += " " + s
         else:
             out.append(s)
@@ -101,7 +108,9 @@ def has_shape(s: str, words: list[str]) -> bool:
     letters = sum(map(len, words))
     if len(words) < WORDS or letters < 0.6 * (len(s) - s.count(" ")) or not 2.2 * len(words) <= letters <= 18 * len(words):
         return False
-    return len(VOWEL.findall(s)) >= 0.22 * letters
+    low = s.lower()
+    vowels = sum(map(low.count, VOWELS))
+    return vowels >= 0.22 * letters or not s.isascii() and vowels + sum(map(low.count, MORE_VOWELS)) >= 0.22 * letters
 
 
 def shares(text: str, lists: Lists) -> tuple[float, float, float]:
@@ -119,20 +128,20 @@ def shares(text: str, lists: Lists) -> tuple[float, float, float]:
         if BULLET.match(line):
             bullets += size
             rest.append("")
-            if END.search(line.strip()) and len(line.split()) > WORDS:
+            if ends(line.strip()) and len(line.split()) > WORDS:
                 bullets -= size
                 rest[-1] = line.strip().split(None, 1)[1]
                 rest.append("")
             continue
-        if LOG.match(line) or LINK.match(line) or CODE_SIGN.search(line) and CODE.search(line):
+        if LOG.match(line) or "://" in line and LINK.match(line) or CODE_SIGN.search(line) and CODE.search(line):
             rows += size
             rest.append("")
             continue
-        cells = CELLS.split(line.strip()) if SEPARATORS.search(line) else ()
-        if len(cells) >= 3:
+        cells = 1 + len(SEPARATOR.findall(line))
+        if cells >= 3:
             n = len(line.split()) + line.count(",") * (", " not in line) if not (wide and WIDE.search(line)) else len(line) / 3
             hard = len(HARD.findall(line))
-            if (hard >= 2 and n <= 3.2 * (hard + 1)) or (len(cells) >= 4 and n <= 2.6 * len(cells) and not END.search(line.strip().rstrip(";:")) or len(cells) >= 8 and n <= 2.6 * len(cells)):
+            if hard >= 2 and n <= 3.2 * (hard + 1) or n <= 2.6 * cells and (cells >= 8 or cells >= 4 and not ends(line.strip().rstrip(";:"))):
                 rows += size
                 rest.append("")
                 continue
@@ -144,10 +153,9 @@ def shares(text: str, lists: Lists) -> tuple[float, float, float]:
         own: list[str] = []
         size = 0
         for s in STOP.split(block):
-            s = s.strip()
             if len(s) < 12:
                 continue
-            n = len(s) - s.count(" ")
+            n = len(s) - s.count(" ") + 1  # the mark at its end
             if wide and len(WIDE.findall(s)) > 0.4 * len(s):
                 prose += n if is_wide_sentence(s) else 0
                 continue
@@ -168,16 +176,17 @@ def shares(text: str, lists: Lists) -> tuple[float, float, float]:
     return bullets / total, rows / total, prose / total
 
 
-def _coverage(words: list[str], n: int, letters: int) -> float:
-    """Characters in all occurrences of the most frequent n-gram that occurs more than once, as a
-    share; ties go to the longest, then the first in order."""
-    if len(words) <= n:
-        return 0.0
-    grams = Counter(zip(*(words[k:] for k in range(n))))
-    most = max(grams.values())
-    if most < 2:
-        return 0.0
-    return min(1.0, most * max(sum(map(len, g)) for g, c in grams.items() if c == most) / max(letters, 1))
+def _coverage(words: list[str], letters: int) -> list[float]:
+    """For n = 2, 3, 4: characters in all occurrences of the most frequent n-gram that occurs more
+    than once, as a share; ties go to the longest."""
+    out = [0.0, 0.0, 0.0]
+    for k in range(3):
+        grams = Counter(zip(*(words[j:] for j in range(k + 2))))
+        most = max(grams.values(), default=0)
+        if most < 2:
+            break  # nor does a longer n-gram occur twice
+        out[k] = min(1.0, most * max(sum(map(len, g)) for g, c in grams.items() if c == most) / max(letters, 1))
+    return out
 
 
 def statistics(text: str | None, lists: Lists) -> tuple:
@@ -187,12 +196,12 @@ def statistics(text: str | None, lists: Lists) -> tuple:
     words = WORD.findall(text.lower())
     n, letters = len(words), sum(map(len, words))
     lines = [x.strip() for x in text.splitlines() if x.strip()]
-    paragraphs = [x.strip() for x in re.split(r"\n\s*\n", text.replace("\r\n", "\n")) if x.strip()]
+    paragraphs = [x.strip() for x in PARAGRAPH.split(text.replace("\r\n", "\n")) if x.strip()]
     solid = max(len("".join(text.split())), 1)
     dup = lambda xs: 1 - len(set(xs)) / len(xs)
     return (
-        True, n, letters / max(n, 1), len(SYMBOL.findall(text)) / solid, sum(bool(END.search(x)) for x in lines) / len(lines),
-        sum(w in lists.all for w in words) / max(n, 1), dup(lines), dup(paragraphs), *(_coverage(words, k, letters) for k in (2, 3, 4)), *shares(text, lists),
+        True, n, letters / max(n, 1), len(SYMBOL.findall(text)) / solid, sum(map(ends, lines)) / len(lines),
+        sum(map(lists.all.__contains__, words)) / max(n, 1), dup(lines), dup(paragraphs), *_coverage(words, letters), *shares(text, lists),
     )
 
 
