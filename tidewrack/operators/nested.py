@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewrack.session import spread
+
 BLOCK_BYTES = 2_000_000
 
 LINKS = T.StructType([
@@ -288,4 +290,4 @@ def flatten_records(df: DataFrame, id_col: str, json_col: str, values: bool = Fa
                     index.append(i)
                     size += len(t)
 
-    return df.select(id_col, json_col).mapInArrow(run, out)
+    return spread(df.select(id_col, json_col)).mapInArrow(run, out)

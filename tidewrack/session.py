@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one is set only where the setting is absent."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
         d = "file://" + tempfile.mkdtemp(prefix="tidewrack-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -55,6 +55,15 @@ def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is where its scan has at least a split per core; a table in fewer files or row groups
+    than that is dealt out to the cores, for the work per row that follows. Large tables are never
+    shuffled by this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors of a cluster on which it isn't installed."""
     root = Path(__file__).resolve().parent
