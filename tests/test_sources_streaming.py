@@ -65,3 +65,26 @@ def test_builder(spark):
     c = CrawlBuilder(["https://a.example/1"]).max_pages(5).with_graph("single_domain").with_css(3).with_dom(4).with_paths().with_screenshots().with_content_dedup().stage("own", lambda d: d.withColumn("n", F.size("links"))).build(spark)
     got = {r.url: (r.total_nodes, r.n) for r in c.plan(p).collect()}
     assert got == {"https://a.example/1": (4, 2), "https://a.example/2": (None, 0)}
+
+
+def test_images_that_are_none_stay(spark):
+    from tidewrack.sources import storage
+
+    d = spark.createDataFrame([("u", bytearray(b"no image")), ("v", None)], "url string, image binary")
+    got = {r.url: (r.image, r.format) for r in storage.to_webp(d).collect()}
+    assert bytes(got["u"][0]) == b"no image" and got["v"][0] is None and got["u"][1] == "png"
+
+
+def test_robots_texts(spark):
+    q = replay.robots_requests(spark.createDataFrame([("a.example",), ("b.example",), ("",)], "domain string"))
+    r = spark.createDataFrame([("https://a.example/robots.txt", "User-agent: *", 200), ("https://b.example/robots.txt", "x", 404)], "url string, content string, status_code int")
+    assert {x.domain: x.robots_txt for x in replay.robots_texts(q, r).collect()} == {"a.example": "User-agent: *", "b.example": ""}
+
+
+def test_progress_log(spark, sf, tmp_path):
+    from tidewrack.streaming.log import ProgressLog
+
+    log = ProgressLog(keep=5)
+    for i in range(9):
+        log._add({"i": i})
+    assert log.table(spark).count() == 5

@@ -35,13 +35,14 @@ def budget(pages: DataFrame, max_pages: int, order: list[str]) -> DataFrame:
     return pages.where("NOT is_duplicate AND NOT is_blocked").orderBy(*order).limit(max_pages)
 
 
-def replay(pages: DataFrame, cfg: CrawlConfig, batch: int = 1) -> DataFrame:
+def replay(pages: DataFrame, cfg: CrawlConfig, batch: int = 1, log: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """(url, round, priority, depth): the best-first crawl over stored pages(url, links).
 
     Each round pops `batch` urls (1 gives the exact order of a sequential crawl), drops those whose
     canonical form was seen, looks their pages up, scores the links and pushes new ones. State is a
     few columns per url; it is checkpointed in the shared folder each round, so the lineage stays
-    short. A target without a stored page counts as an error page and ends there.
+    short. A target without a stored page counts as an error page and ends there. log gets (round,
+    pages taken so far, urls queued) of each round.
     """
     spark = pages.sparkSession
     seeds = [(u, SEED_PRIORITY, 0, i) for i, u in enumerate(cfg.seeds)]
@@ -66,4 +67,6 @@ def replay(pages: DataFrame, cfg: CrawlConfig, batch: int = 1) -> DataFrame:
         visited = cut(visited.unionByName(fresh))
         rest = frontier.join(top.select("url"), "url", "left_anti")
         frontier = cut(rest.unionByName(push(new, rest, visited)))
+        if log is not None:
+            log.append((round_no, taken, frontier.count()))
     return visited.drop("canonical")

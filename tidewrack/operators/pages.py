@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.session import spread
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 PARSED = "title string, links array<string>, css_links array<string>, inline_css array<string>, meta_data map<string,string>, html string, text_content string"
@@ -25,6 +27,11 @@ NODE = (
 )
 
 
+def usable(pages: DataFrame, content_col: str = "content") -> DataFrame:
+    """Pages that the stages after the fetch work on: without an error and with content."""
+    return pages.where(F.col("error").isNull() & (F.coalesce(F.col(content_col), F.lit("")) != ""))
+
+
 class Tree(HTMLParser):
     """Nodes as lists [kind, tag or text, attributes, children]; kind is e, t or c."""
 
@@ -143,7 +150,7 @@ def parse_pages(pages: DataFrame, id_col: str, url_col: str = "url", content_col
             yield pd.DataFrame({"id": b["id"], "parsed": [None if g is None else dict(zip(names, g)) for g in got]})
 
     kind = pages.schema[id_col].dataType.simpleString()
-    out = pages.select(F.col(id_col).alias("id"), F.col(content_col).alias("c"), F.col(url_col).alias("u")).mapInPandas(run, f"id {kind}, parsed struct<{_spec(PARSED)}>")
+    out = spread(pages.select(F.col(id_col).alias("id"), F.col(content_col).alias("c"), F.col(url_col).alias("u"))).mapInPandas(run, f"id {kind}, parsed struct<{_spec(PARSED)}>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -211,4 +218,4 @@ def dom_table(pages: DataFrame, id_col: str, content_col: str = "content", max_d
             yield pd.DataFrame(rows, columns=["id", *names])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col).alias("id"), F.col(content_col).alias("c")).where("c IS NOT NULL").mapInPandas(run, f"id {kind}, {NODE}").withColumnRenamed("id", id_col)
+    return spread(pages.select(F.col(id_col).alias("id"), F.col(content_col).alias("c")).where("c IS NOT NULL")).mapInPandas(run, f"id {kind}, {NODE}").withColumnRenamed("id", id_col)

@@ -139,11 +139,20 @@ def crawl_replay(spark: SparkSession, d: str) -> DataFrame:
     return frontier.replay(p, cfg, batch=10)
 
 
+def crawl_queue_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Pages taken and urls queued after each round of a short crawl."""
+    p = table(spark, d, "fetches").where("parsed_data IS NOT NULL").groupBy("url").agg(F.max_by(F.col("parsed_data.links"), "fetch_id").alias("links"))
+    seeds = [r[0] for r in p.where(urls.site("url").isin(SEEDS)).orderBy("url").limit(5).collect()]
+    log: list[tuple[int, int, int]] = []
+    frontier.replay(p, CrawlConfig(seeds=tuple(seeds), max_pages=20, graph=GraphConfig(mode=Mode.FOCUSED)), 10, log)
+    return spark.createDataFrame(log, "round int, pages int, queue_depth int")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         link_priority, high_priority_links, link_edges, keyword_bonus, domain_link_counts, domain_scores, top_domains, graph_statistics, link_depths, domain_cap,
-        frontier_topk, frontier_unvisited, frontier_batch, budget_pages, flagship, crawl_replay,
+        frontier_topk, frontier_unvisited, frontier_batch, budget_pages, flagship, crawl_replay, crawl_queue_depth,
     )
 } | {f"admission_{m.value}": _admitted(m) for m in Mode}
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.functions import urls
-from tidewrack.operators import dedup, metrics, policy
+from tidewrack.operators import dedup, metrics, pages, policy, report
 from tidewrack.plans.web import CANON
+from tidewrack.sources import replay
 from tidewrack.session import table
 
 ORDER = ["ts", "event_id"]
@@ -72,6 +73,20 @@ def errors_after_reset(spark: SparkSession, d: str) -> DataFrame:
     return metrics.without_domain(_errors(spark, d), "ivory-notes.example").groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def final_report(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "fetches")
+    dup = dedup.first_by(f.select("fetch_id", "url", "fetched_at"), urls.canonical("url"), ["fetched_at", "fetch_id"]).select(F.col("fetch_id").alias("event_id"), "is_duplicate")
+    return report.final_report(_events(spark, d).join(dup, "event_id"), F.col("is_duplicate"))
+
+
+def usable_pages(spark: SparkSession, d: str) -> DataFrame:
+    return pages.usable(table(spark, d, "fetches")).select("fetch_id")
+
+
+def robots_requests(spark: SparkSession, d: str) -> DataFrame:
+    return replay.robots_requests(_events(spark, d).select("domain"))
+
+
 def metrics_snapshot(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
     s = metrics.snapshot(metrics.domain_metrics(e), metrics.summary(e, F.lit(False)), F.lit("2025-01-01T00:00:00"))
@@ -134,7 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         crawl_domain_metrics, crawl_summary, running_success_rate, moving_avg_100, last_events, last10_by_domain, domain_rates, error_summary, failed_urls,
-        errors_after_reset, metrics_snapshot, system_metrics, error_classes, retry_schedule, adaptive_delay, adaptive_delay_closed, breaker_states,
+        errors_after_reset, final_report, usable_pages, robots_requests, metrics_snapshot, system_metrics, error_classes, retry_schedule, adaptive_delay, adaptive_delay_closed, breaker_states,
         politeness_schedule, robots_policy, robots_gate,
     )
 }
@@ -166,6 +181,8 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'domain', domain, count(*), count(*) FILTER (r) FROM y GROUP BY domain UNION ALL SELECT 'all', '', count(*), count(*) FILTER (r) FROM y""",
     "failed_urls": f"WITH {_E} SELECT url FROM (SELECT url, arg_max(ok, (ts, event_id)) AS ok FROM e WHERE url IS NOT NULL GROUP BY url) WHERE NOT ok",
     "errors_after_reset": f"WITH {_X} SELECT error_type, count(*) AS n FROM x WHERE NOT coalesce(contains(url, 'ivory-notes.example'), false) GROUP BY 1",
+    "usable_pages": "SELECT fetch_id FROM fetches WHERE error IS NULL AND coalesce(content, '') <> ''",
+    "robots_requests": f"WITH {_E} SELECT DISTINCT domain, 'https://' || domain || '/robots.txt' AS url FROM e WHERE domain <> ''",
     "error_classes": f"""
         WITH {_X}, k AS (SELECT error_id, attempt, CASE WHEN error_type IN ('network_timeout', 'connection_error') THEN error_type WHEN coalesce(status_code, 0) <> 0 THEN
             CASE WHEN status_code = 429 THEN 'rate_limited' WHEN status_code BETWEEN 400 AND 499 THEN 'http_client_error' WHEN status_code BETWEEN 500 AND 599 THEN 'http_server_error' ELSE 'unknown_error' END
@@ -196,3 +213,11 @@ SQL: dict[str, str] = {
         WITH {_E}, d AS (SELECT DISTINCT domain FROM e WHERE domain <> '')
         SELECT domain, CASE WHEN length(domain) % 4 = 0 THEN 2.5 ELSE 1.0 END AS crawl_delay, length(domain) % 4 <> 1 AS user_agent_allowed FROM d""",
 }
+
+SQL["final_report"] = f"""
+    WITH s AS ({SQL["crawl_summary"]}), m AS ({SQL["crawl_domain_metrics"]}),
+    r AS (SELECT 'totals' AS section, 'crawl' AS subject, unnest({report.TOTALS}) AS name, unnest([{", ".join(report.TOTALS)}]::DOUBLE[]) AS value FROM s
+      UNION ALL SELECT 'performance', 'crawl', unnest({report.PERFORMANCE}), unnest([{", ".join(report.PERFORMANCE)}]::DOUBLE[]) FROM s
+      UNION ALL SELECT 'efficiency', 'crawl', unnest({report.EFFICIENCY}), unnest([{", ".join(report.EFFICIENCY)}]::DOUBLE[]) FROM s
+      UNION ALL SELECT 'domain', domain, unnest({report.DOMAIN}), unnest([{", ".join(report.DOMAIN)}]::DOUBLE[]) FROM m)
+    SELECT section, subject, name, value FROM r"""

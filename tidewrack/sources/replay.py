@@ -72,6 +72,17 @@ def css_requests(pages: DataFrame, css_links: str = "css_links", max_files: int
     return pages.select("url", F.posexplode(F.slice(css_links, 1, max_files)).alias("position", "css_url"))
 
 
+def robots_requests(domains: DataFrame) -> DataFrame:
+    """(domain, url): where each domain keeps its robots text."""
+    return domains.where("domain <> ''").select("domain", F.concat(F.lit("https://"), "domain", F.lit("/robots.txt")).alias("url")).distinct()
+
+
+def robots_texts(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """(domain, robots_txt) of fetched robots texts; empty where the answer wasn't 200."""
+    got = results.where("status_code = 200").select("url", "content")
+    return requests.join(got, "url", "left").select("domain", F.coalesce("content", F.lit("")).alias("robots_txt"))
+
+
 def nothing(url: str) -> tuple:
     """A fetcher that reaches nothing."""
     return None, "offline", 0.0, None

@@ -41,6 +41,36 @@ def save_pages(pages: DataFrame, out: str, compress: bool = False) -> None:
     d.write.mode("append").option("compression", "gzip" if compress else "none").partitionBy("kind", "domain").json(out)
 
 
+def to_webp(shots: DataFrame, quality: int = 85) -> DataFrame:
+    """shots(url, image, ...) with PNG bytes as WebP where the imaging library is installed, else as
+    they are; format tells which. Bytes that are no image stay."""
+
+    def run(batches):
+        try:
+            import io
+
+            from PIL import Image
+        except ImportError:
+            Image = None
+        for b in batches:
+            out, kinds = [], []
+            for raw in b["image"]:
+                data, kind = raw, "png"
+                if Image is not None and raw is not None:
+                    try:
+                        to = io.BytesIO()
+                        Image.open(io.BytesIO(raw)).save(to, "WEBP", quality=quality)
+                        data, kind = to.getvalue(), "webp"
+                    except OSError:
+                        pass
+                out.append(data)
+                kinds.append(kind)
+            yield b.assign(image=out, format=kinds)
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shots.schema)
+    return shots.mapInPandas(run, names + ", format string")
+
+
 def save_json(df: DataFrame, out: str) -> None:
     df.write.mode("overwrite").json(out)
 
