@@ -258,7 +258,7 @@ def test_adaptive_delay_both_ways(spark):
 
 
 def test_breaker(spark):
-    from tidewrack.streaming.events import Breaker
+    from tidewrack.operators.policy import Breaker
 
     rng = random.Random(6)
     rows, t = [], 0.0
@@ -290,7 +290,7 @@ def test_robots(spark):
 def test_politeness(spark):
     arrivals = [("a", 0, 0.0), ("a", 1, 0.1), ("a", 2, 5.0), ("a", 3, 5.2), ("b", 4, 9.0)]
     d = spark.createDataFrame(arrivals, "domain string, i long, t double")
-    got = {r.i: r.start for r in policy.politeness_schedule(d, F.col("t"), F.lit(1.0), ["i"]).collect()}
+    got = {r.i: r.start for r in policy.politeness_schedule(d, F.col("t"), F.lit(1.0), ["i"], F.floor(F.col("i") / 2)).collect()}
     assert got == pytest.approx({0: 0, 1: 1.0, 2: 5.0, 3: 6.0, 4: 9.0})
 
 

@@ -14,8 +14,6 @@ COMPONENTS = [
 ]
 #: What a safe file name has in place of a selector's signs.
 SAFE = [("#", "id_"), (".", "class_"), (" ", "_"), (">", "_gt_"), ("+", "_plus_"), ("~", "_tilde_"), ("[", "_"), ("]", "_"), ("=", "_eq_"), ('"', ""), ("'", ""), (":", "_")]
-#: Selectors of consent buttons.
-CONSENT = ['button[id*="accept"]', 'button[class*="accept"]', 'button[id*="cookie"]', 'button[class*="cookie"]', '[id*="cookieConsent"] button', ".cookie-banner button"]
 
 
 def safe_name(selector: Column) -> Column:
@@ -52,7 +50,8 @@ def link_by_position(nodes: DataFrame, shots: DataFrame, id_col: str) -> DataFra
 
 
 def has_consent_button(html: Column) -> Column:
-    """Does a page hold one of the consent buttons by a plain reading of its markup?"""
+    """Does a page hold a consent button: one with accept or cookie in its id or class, or inside
+    something whose id holds cookieConsent or whose class is cookie-banner?"""
     return html.rlike(r'(?i)<button\b[^>]*\b(?:id|class)\s*=\s*"[^"]*(?:accept|cookie)|id\s*=\s*"[^"]*cookieConsent|class\s*=\s*"[^"]*\bcookie-banner\b')
 
 

@@ -1,12 +1,14 @@
 """Politeness and resilience: robots rules, delays, retries, circuit breakers.
 
-What is a fold over a key's ordered events is a fold over an array where the history is short
-(adaptive_delay, breaker_states), and a composition of partial folds where it may be long
-(adaptive_delay_closed, politeness_schedule).
+Folds over a domain's ordered events are compositions of partial folds by time bucket (delays,
+schedules), so a dominating domain's history is never in one task. The circuit breaker's steps don't
+compose; its events are sorted and streamed with a few numbers of state per domain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +16,6 @@ from pyspark.sql.window import Window
 
 from tidewrack.config import PolicyConfig, RetryConfig
 
-TYPES = ("network_timeout", "connection_error", "http_client_error", "http_server_error", "rate_limited", "parsing_error", "screenshot_error", "storage_error", "unknown_error")
-
 
 def classify_error(kind: Column, status: Column, message: Column) -> Column:
     """Type of an error. kind names a timeout or connection error; a status decides next; only without
@@ -88,35 +88,72 @@ def adaptive_delay_closed(events: DataFrame, order: list[str], bucket: Column, c
     return whole.select("domain", F.greatest(m["c"], m["a"] * cfg.default_delay).alias("crawl_delay"), "requests")
 
 
-def politeness_schedule(requests: DataFrame, arrival: Column, delay: Column, order: list[str], domain: str = "domain") -> DataFrame:
+def politeness_schedule(requests: DataFrame, arrival: Column, delay: Column, order: list[str], bucket: Column, domain: str = "domain") -> DataFrame:
     """requests with start: each at its arrival or `delay` seconds after the one before on its domain.
-    The recurrence unrolls to i x delay + running max(arrival - i x delay)."""
-    w = Window.partitionBy(domain).orderBy(*order)
-    r = requests.withColumns({"_a": arrival, "_d": delay, "_i": F.row_number().over(w) - 1})
-    lead = F.max(F.col("_a") - F.col("_i") * F.col("_d")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return r.withColumn("start", F.col("_i") * F.col("_d") + lead).drop("_a", "_d", "_i")
+
+    The recurrence unrolls to i x delay + running max(arrival - i x delay). Index and maximum run
+    within buckets (an increasing function of the order); the buckets before, few per domain, add
+    their count and maximum.
+    """
+    w = Window.partitionBy(domain, "_b").orderBy(*order)
+    r = requests.withColumns({"_a": arrival, "_d": delay, "_b": bucket}).withColumn("_i", F.row_number().over(w) - 1)
+    before = Window.partitionBy(domain).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = r.groupBy(domain, "_b").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("_a") - F.col("_i") * F.col("_d")).alias("_m"), F.first("_d").alias("_dd"))
+    per = per.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    per = per.withColumn("_p", F.max(F.col("_m") - F.col("_o") * F.col("_dd")).over(before)).select(domain, "_b", "_o", "_p")
+    r = r.join(per, [domain, "_b"]).withColumn("_j", F.col("_i") + F.col("_o"))
+    run = F.max(F.col("_a") - F.col("_j") * F.col("_d")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    start = F.col("_j") * F.col("_d") + F.greatest(run, F.coalesce("_p", run))
+    return r.withColumn("start", start).drop("_a", "_d", "_i", "_b", "_o", "_p", "_j")
+
+
+class Breaker:
+    """State of a circuit breaker: closed, open or half_open."""
+
+    def __init__(self, cfg: PolicyConfig, state: str = "closed", failures: int = 0, last: float = 0.0):
+        self.cfg, self.state, self.failures, self.last = cfg, state, failures, last
+
+    def event(self, at: float, ok: bool) -> bool:
+        """Feed an event; False if the breaker refuses the call. It opens after enough failures,
+        refuses until the recovery time has passed, then lets one try; a success closes it only then,
+        and doesn't reset the count while it is closed."""
+        if self.state == "open":
+            if not at - self.last > self.cfg.recovery_seconds:
+                return False
+            self.state = "half_open"
+        if ok:
+            if self.state == "half_open":
+                self.state, self.failures = "closed", 0
+        else:
+            self.failures, self.last = self.failures + 1, at
+            if self.failures >= self.cfg.failure_threshold:
+                self.state = "open"
+        return True
 
 
 def breaker_states(events: DataFrame, order: list[str], seconds: str, ok: str, cfg: PolicyConfig = PolicyConfig(), key: str = "domain") -> DataFrame:
-    """(key, state, failures, refused): the circuit breaker of each key after its events. It opens
-    after enough failures, refuses calls until the recovery time has passed, then lets one try; a
-    success closes it only then, and doesn't reset the count while it is closed."""
-    g = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(seconds).cast("double").alias("_t"), F.col(ok).alias("_ok")))).alias("h"))
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0.0).alias("last"), F.lit(0).alias("refused"))
-
-    def step(s: Column, e: Column) -> Column:
-        refused = (s["state"] == "open") & ~(e["_t"] - s["last"] > cfg.recovery_seconds)
-        state = F.when((s["state"] == "open") & ~refused, "half_open").otherwise(s["state"])
-        n = s["failures"] + 1
-        return (
-            F.when(refused, F.struct(s["state"].alias("state"), s["failures"].alias("failures"), s["last"].alias("last"), (s["refused"] + 1).alias("refused")))
-            .when(e["_ok"] & (state == "half_open"), F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), s["last"].alias("last"), s["refused"].alias("refused")))
-            .when(e["_ok"], F.struct(state.alias("state"), s["failures"].alias("failures"), s["last"].alias("last"), s["refused"].alias("refused")))
-            .otherwise(F.struct(F.when(n >= cfg.failure_threshold, "open").otherwise(state).alias("state"), n.alias("failures"), e["_t"].alias("last"), s["refused"].alias("refused")))
-        )
-
-    r = F.aggregate("h", start, step)
-    return g.select(key, r["state"].alias("state"), r["failures"].alias("failures"), r["refused"].alias("refused"))
+    """(key, state, failures, refused): the circuit breaker of each key after its events in order.
+    Null times never let an open breaker recover. Events are sorted within partitions by key and
+    order and streamed; a task holds one batch and one breaker."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, b, refused = None, None, 0
+        for pdf in batches:
+            out = []
+            for k, t, good in zip(pdf["k"], pdf["t"], pdf["ok"]):
+                if b is None or k != now:
+                    if b is not None:
+                        out.append((now, b.state, b.failures, refused))
+                    now, b, refused = k, Breaker(cfg), 0
+                refused += not b.event(t, bool(good))
+            yield pd.DataFrame(out, columns=[key, "state", "failures", "refused"])
+        if b is not None:
+            yield pd.DataFrame([(now, b.state, b.failures, refused)], columns=[key, "state", "failures", "refused"])
+
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(seconds).cast("double").alias("t"), F.col(ok).alias("ok"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
+    rows = rows.repartition("k").sortWithinPartitions("k", *(f"_o{i}" for i in range(len(order))))
+    return rows.select("k", "t", "ok").mapInPandas(run, f"{key} {kind}, state string, failures int, refused int")
 
 
 def robots_policy(robots: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:

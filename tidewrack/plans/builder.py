@@ -79,5 +79,3 @@ class CrawlBuilder:
     def build(self, spark: SparkSession) -> Crawl:
         return Crawl(spark, self.cfg, dict(self.stages))
 
-
-__all__ = ["Crawl", "CrawlBuilder"]

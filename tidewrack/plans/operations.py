@@ -109,12 +109,9 @@ def retry_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adaptive_delay(spark: SparkSession, d: str) -> DataFrame:
-    return policy.adaptive_delay(_events(spark, d), ORDER)
-
-
-def adaptive_delay_closed(spark: SparkSession, d: str) -> DataFrame:
+    """Logarithm of the delay, as delays grow by powers."""
     r = policy.adaptive_delay_closed(_events(spark, d), ORDER, _bucket())
-    return r.select("domain", F.format_string("%.6e", "crawl_delay").alias("crawl_delay"), "requests")
+    return r.select("domain", F.round(F.ln("crawl_delay"), 6).alias("log_delay"), F.col("requests").cast("long").alias("requests"))
 
 
 def breaker_states(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +121,7 @@ def breaker_states(spark: SparkSession, d: str) -> DataFrame:
 
 def politeness_schedule(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).where("ts IS NOT NULL")
-    r = policy.politeness_schedule(e, F.unix_micros(F.col("ts").cast("timestamp")) / 1000000, F.lit(1.0), ORDER)
+    r = policy.politeness_schedule(e, F.unix_micros(F.col("ts").cast("timestamp")) / 1000000, F.lit(1.0), ORDER, _bucket())
     return r.select("event_id", F.round("start", 3).alias("start"))
 
 
@@ -149,7 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         crawl_domain_metrics, crawl_summary, running_success_rate, moving_avg_100, last_events, last10_by_domain, domain_rates, error_summary, failed_urls,
-        errors_after_reset, final_report, usable_pages, robots_requests, metrics_snapshot, system_metrics, error_classes, retry_schedule, adaptive_delay, adaptive_delay_closed, breaker_states,
+        errors_after_reset, final_report, usable_pages, robots_requests, metrics_snapshot, system_metrics, error_classes, retry_schedule, adaptive_delay, breaker_states,
         politeness_schedule, robots_policy, robots_gate,
     )
 }
@@ -190,7 +187,7 @@ SQL: dict[str, str] = {
           WHEN contains(lower(coalesce(message, '')), 'storage') THEN 'storage_error' ELSE 'unknown_error' END AS kind FROM x)
         SELECT error_id, kind, coalesce(attempt < 3 AND kind IN ('network_timeout', 'connection_error', 'http_server_error', 'rate_limited'), false) AS retryable,
           least(pow(2.0, attempt - 1) * CASE WHEN kind = 'rate_limited' THEN 2 ELSE 1 END, 60.0) AS delay FROM k""",
-    "adaptive_delay": f"{_FOLD} SELECT domain, arg_max(d, i) AS crawl_delay, CAST(max(i) AS INTEGER) AS requests FROM f GROUP BY domain",
+    "adaptive_delay": f"{_FOLD} SELECT domain, round(ln(arg_max(d, i)), 6) AS log_delay, max(i) AS requests FROM f GROUP BY domain",
     "crawl_summary": f"""
         WITH {CANON}, {_E}, z AS (SELECT e.*, row_number() OVER (PARTITION BY c ORDER BY fetched_at NULLS FIRST, fetch_id) > 1 AND c IS NOT NULL AS dup FROM e JOIN canon ON fetch_id = event_id),
         a AS (SELECT count(*) FILTER (ok AND NOT dup) AS n, count(*) FILTER (NOT ok) AS err, count(*) FILTER (dup) AS dups, CAST(sum(content_length) FILTER (ok AND NOT dup) AS BIGINT) AS b, avg(response_time) FILTER (ok AND NOT dup) AS rt, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS s FROM z)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.config import PolicyConfig
 from tidewrack.functions import urls
+from tidewrack.operators.policy import Breaker
 
 
 def first_urls(pages: DataFrame, ts: str = "fetched_at", watermark: str = "10 days") -> DataFrame:
@@ -41,28 +42,6 @@ def next_delay(delay: float, status: int, seconds: float, default: float) -> flo
     return delay
 
 
-class Breaker:
-    """State of a circuit breaker: closed, open or half_open."""
-
-    def __init__(self, cfg: PolicyConfig, state: str = "closed", failures: int = 0, last: float = 0.0):
-        self.cfg, self.state, self.failures, self.last = cfg, state, failures, last
-
-    def event(self, at: float, ok: bool) -> bool:
-        """Feed an event; False if the breaker refuses the call."""
-        if self.state == "open":
-            if at - self.last <= self.cfg.recovery_seconds:
-                return False
-            self.state = "half_open"
-        if ok:
-            if self.state == "half_open":
-                self.state, self.failures = "closed", 0
-        else:
-            self.failures, self.last = self.failures + 1, at
-            if self.failures >= self.cfg.failure_threshold:
-                self.state = "open"
-        return True
-
-
 def domain_policy(events: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
     """(domain, crawl_delay, breaker, requests): per domain, after each batch of its events(domain,
     ts, event_id, status_code, response_time, ok), the adaptive delay and the breaker's state."""
