@@ -99,6 +99,20 @@ lines AS (
   SELECT source, line FROM lines WHERE line <> '' AND source <> '' GROUP BY source, line HAVING count(DISTINCT url) >= 4
 )"""
 
+_LEAKS = r"""
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+it AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[u.i:u.i + least(10, len(w)) - 1], ' ') AS g FROM it, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0),
+ns AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, u.i, array_to_string(w[u.i:u.i + n - 1], ' ') AS g FROM d, ns, unnest(range(1, len(w) - n + 2)) AS u(i)),
+hits AS (SELECT doc_id, item_id, count(*) AS windows FROM dw JOIN iw USING (n, g) GROUP BY doc_id, item_id)"""
+
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_LINES} SELECT l.fetch_id, l.line_no FROM lines l JOIN often USING (source, line)",
+    "p1_clean_text": f"""
+        WITH {_LINES}, k AS (SELECT l.fetch_id, l.line_no, string_split(f.parsed_data.text_content, chr(10))[l.line_no + 1] AS raw FROM lines l JOIN fetches f USING (fetch_id) LEFT JOIN often o USING (source, line) WHERE o.line IS NULL),
+        t AS (SELECT fetch_id, string_agg(raw, chr(10) ORDER BY line_no) AS text FROM k GROUP BY fetch_id)
+        SELECT f.fetch_id, CASE WHEN f.url IS NULL THEN f.parsed_data.text_content WHEN f.parsed_data.text_content IS NOT NULL THEN coalesce(t.text, '') END AS text FROM fetches f LEFT JOIN t USING (fetch_id)""",
+    "p9_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM hits",
+    "p9_leaked_items": f"WITH {_LEAKS} SELECT item_id, count(*) AS n_docs, CAST(sum(windows) AS BIGINT) AS n_windows FROM hits GROUP BY item_id",
 }
