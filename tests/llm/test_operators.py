@@ -331,3 +331,17 @@ def test_statistics(spark, common):
     assert a.top_2gram_chars == 1.0 and a.punctuated_lines == 0
     assert sorted(r.doc_id for r in quality.find_not_prose(df, common).collect()) == [1, 1, 5]
     assert quality.text_statistics(df.limit(0), common).count() == 0
+
+
+# --- very long texts
+
+
+def test_very_long_texts(spark, common):
+    long_html = page("<main>\n<h1>Long</h1>\n" + "".join(f"<p>{ARTICLE} {i}.</p>\n" for i in range(4000)) + "</main>")
+    df = spark.createDataFrame([fetch(1, "https://a.example/1", long_html, lines_of(long_html), "Long")], FETCH)
+    assert main_content.find_main_lines(df, common).count() == 4001
+    assert spam.find_stuffed(df, common).count() in (0, 1)
+    assert templates.find_residue(df, common).count() == 0
+    assert repeated_lines.repeated_occurrences(df).count() == 0
+    assert encoding.mend("é" * 300_000)[0] in (True, False)
+    assert quality.shares("The cat of the mill is in the yard. " * 20_000, quality.Lists(COMMON))[2] > 0.9

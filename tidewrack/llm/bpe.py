@@ -13,8 +13,6 @@ from __future__ import annotations
 import json
 import re
 import sys
-import unicodedata
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewrack.session import spread
+
 IDS = T.ArrayType(T.IntegerType())
 
 #: Entries kept of each memo; one that is full is emptied, which changes no result.
@@ -275,7 +275,7 @@ def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
                 ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, i - start), ids], [id_col, out_col])
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return spread(df.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids", out_col: str = "text") -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewrack.session import spread
+
 LAYERS = 4
 #: Least drop of the cost, absolute and as a share, for a repair to be accepted: of text meant as
 #: UTF-8, whose sequences hardly occur by chance, and of text meant in a legacy encoding.
@@ -278,4 +280,4 @@ def find_garbled(df: DataFrame, id_col: str, fields: dict[str, tuple[str, bool]]
             yield pa.RecordBatch.from_arrays([ids, pa.array(field, pa.string()), pa.array(text, pa.string()), pa.array(done, pa.bool_())], schema.names)
 
     chosen = df.select(F.col(id_col), *(F.col(c).alias(f"_{n}") for n, (c, _) in fields.items()))
-    return chosen.mapInArrow(run, schema)
+    return spread(chosen).mapInArrow(run, schema)

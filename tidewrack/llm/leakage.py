@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewrack.session import spread
+
 WORD = re.compile(r"[^\W_]+")
 #: Words of one block of documents, and bytes of items sent at once.
 BLOCK_WORDS = 1_500_000
@@ -158,7 +160,7 @@ def find_leaks(
                     yield flush(ids, doc, size, batch.column(0))
 
         kind = pa.int64() if isinstance(out[1].dataType, T.LongType) else pa.int32() if isinstance(out[1].dataType, T.IntegerType) else pa.string()
-        return docs.select(doc_id, text).mapInArrow(run, out)
+        return spread(docs.select(doc_id, text)).mapInArrow(run, out)
 
     result = one(0)
     for b in range(1, blocks):

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from tidewrack.llm import spam, templates
 from tidewrack.llm.pagetree import ASIDE, Line, Page, areas, is_heading, mend_lines, read_page
-from tidewrack.llm.signs import SENTENCE, STOP, width
-from tidewrack.session import cut
+from tidewrack.llm.signs import SENTENCE, STOP, width, word_rows
+from tidewrack.session import cut, spread
 
 #: Shortest paragraph that gives points, characters; ideographs and kana count three times.
 LEAST = 20
@@ -102,8 +102,7 @@ def find_main_lines(fetches: DataFrame, common_words: DataFrame, id_col: str = "
     empty html or text. Line numbers count from 0. One pass parses each page once for its lines, its
     spam features and its template lines; that is checkpointed, and only hashes and ids are shuffled.
     """
-    rows = common_words.select("lang", "word").where("word IS NOT NULL AND lang IS NOT NULL").limit(100_000).collect()
-    lists = spam.word_lists(rows)
+    lists = spam.word_lists(word_rows(common_words))
     pages = fetches.where("parsed_data.text_content IS NOT NULL AND parsed_data.html IS NOT NULL").select(
         F.col(id_col).alias("id"), F.coalesce("url", F.lit("")).alias("url"), F.col("parsed_data.html").alias("html"), F.col("parsed_data.text_content").alias("text"))
     schema = T.StructType([
@@ -127,6 +126,6 @@ def find_main_lines(fetches: DataFrame, common_words: DataFrame, id_col: str = "
                 [b.column(0), b.column(1), pa.array(flags, pa.bool_()), pa.array(lines, templates.LINES_ARROW), pa.array(body, pa.list_(pa.int32())),
                  *(pa.array(c, k) for c, k in zip(columns, spam.KINDS))], schema.names)
 
-    read = cut(pages.mapInArrow(run, schema))
+    read = cut(spread(pages).mapInArrow(run, schema))
     kept = spam.calibrated(read).where(~spam.stuffed() & ~F.col("text_flag")).join(templates.template_pages(read), "id", "left_anti")
     return kept.select(F.col("id").alias(id_col), F.explode("body").alias("line_no"))

@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewrack.llm.signs import word_rows
+from tidewrack.session import spread
+
 #: Share of characters in running sentences below which a text isn't prose.
 PROSE = 0.5
 #: Least words of a sentence, and least share of function words in its language's best list; for the
@@ -205,17 +208,13 @@ def statistics(text: str | None, lists: Lists) -> tuple:
     )
 
 
-def _lists(common_words: DataFrame) -> Lists:
-    return Lists([tuple(r) for r in common_words.select("lang", "word").where("word IS NOT NULL AND lang IS NOT NULL").limit(100_000).collect()])
-
-
 def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, STATS): one row per row of docs, for the whole text.
 
     Null, empty and blank texts have zeros. Repeated rows and null ids are kept; other columns aren't
     read. common_words(lang, word) is a small table of fixed size. No shuffle.
     """
-    lists = _lists(common_words)
+    lists = Lists(word_rows(common_words))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, t) for n, _, t in STATS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +223,7 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc
             columns = zip(*out) if out else [()] * len(STATS)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, (_, k, _) in zip(columns, STATS))], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def find_not_prose(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

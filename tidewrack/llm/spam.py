@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewrack.llm.pagetree import Page, main_area, mend_lines, read_page
-from tidewrack.session import cut
+from tidewrack.llm.signs import word_rows
+from tidewrack.session import cut, spread
 
 WORD = re.compile(r"[^\W\d_]+")
 SEPARATOR = re.compile(r"[|,;/#•·、，；]")
@@ -75,8 +76,7 @@ def word_lists(rows: list) -> dict[str, frozenset[str]]:
 
 def page_features(pages: DataFrame, common_words: DataFrame) -> DataFrame:
     """(id, FEATURES) of pages(id, html, text), without a shuffle; features are null without text."""
-    rows = common_words.select("lang", "word").where("word IS NOT NULL AND lang IS NOT NULL").limit(100_000).collect()
-    common = word_lists(rows)
+    common = word_lists(word_rows(common_words))
     schema = T.StructType([T.StructField("id", pages.schema["id"].dataType), *FEATURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def page_features(pages: DataFrame, common_words: DataFrame) -> DataFrame:
             columns = zip(*out) if out else [()] * len(KINDS)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, KINDS))], schema.names)
 
-    return pages.select("id", "html", "text").mapInArrow(run, schema)
+    return spread(pages.select("id", "html", "text")).mapInArrow(run, schema)
 
 
 def calibrated(measured: DataFrame, fraction: float = 0.45) -> DataFrame:
