@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewrack.config import CrawlConfig, GraphConfig, Mode, PolicyConfig
+from tidewrack.functions import urls
 from tidewrack.operators import dedup, dom, frontier, links, metrics, nested, pages, policy, skew
 from tidewrack.session import broadcast_within
 
@@ -151,7 +152,7 @@ def test_keep_newest(spark):
 
 def score(spark, cfg, url, source="https://s.example/", depth=1, text=None, content=None):
     c = F.lit(url)
-    return spark.range(1).select(links.priority(cfg, c, F.lit(source), __import__("tidewrack.functions.urls", fromlist=["x"]).domain(c), F.lit(depth), F.lit(text), F.lit(content))).first()[0]
+    return spark.range(1).select(links.priority(cfg, c, F.lit(source), urls.domain(c), F.lit(depth), F.lit(text), F.lit(content))).first()[0]
 
 
 def test_priority_card(spark):
