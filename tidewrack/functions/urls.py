@@ -8,8 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: RFC 3986, appendix B.
-RFC = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?$"
+#: The groups of RFC 3986, appendix B, each by a pattern of its own that reads no further than it must.
+PARTS = {
+    1: r"^([^:/?#]+):",
+    2: r"^(?:[^:/?#]+:)?//([^/?#]*)",
+    3: r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)",
+    4: r"^[^?#]*\?([^#]*)",
+    5: r"^[^#]*#([\s\S]*)$",
+}
 
 # Query parameters that the canonical form drops.
 TRACKING = [
@@ -26,7 +32,7 @@ def _c(x: Column | str) -> Column:
 
 def part(url: Column | str, n: int) -> Column:
     """Group n of the RFC split: 1 scheme, 2 authority, 3 path, 4 query, 5 fragment; '' if absent."""
-    return F.regexp_extract(_c(url), RFC, n)
+    return F.regexp_extract(_c(url), PARTS[n], 1)
 
 
 def scheme(url: Column | str) -> Column:
