@@ -45,7 +45,7 @@ def title(html: Column) -> Column:
 
 def links(html: Column, base: Column) -> Column:
     """Distinct http(s) targets of anchors, resolved, in document order."""
-    found = F.transform(_all(html, A_HREF), lambda x: urls.resolve(base, unescape(x)))
+    found = urls.resolve_all(base, F.transform(_all(html, A_HREF), unescape))
     return F.array_distinct(F.filter(found, lambda x: x.startswith("http://") | x.startswith("https://")))
 
 
@@ -53,11 +53,11 @@ def stylesheets(html: Column, base: Column) -> Column:
     """Distinct targets of <link rel=stylesheet> in document order."""
     tags = F.filter(_all(html, LINK, 0), lambda t: t.rlike(r"(?i)\brel\s*=\s*\"(?:[^\"]*\s)?stylesheet(?:\s[^\"]*)?\""))
     href = F.filter(F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*\"([^\"]*)\"", 1)), lambda x: x != "")
-    return F.array_distinct(F.transform(href, lambda x: urls.resolve(base, unescape(x))))
+    return F.array_distinct(urls.resolve_all(base, F.transform(href, unescape)))
 
 
 def images(html: Column, base: Column) -> Column:
-    return F.array_distinct(F.transform(_all(html, IMG_SRC), lambda x: urls.resolve(base, unescape(x))))
+    return F.array_distinct(urls.resolve_all(base, F.transform(_all(html, IMG_SRC), unescape)))
 
 
 def inline_css(html: Column) -> Column:

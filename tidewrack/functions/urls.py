@@ -111,24 +111,39 @@ def without_dots(p: Column) -> Column:
     return F.when(p.contains("/."), F.concat(F.array_join(done, "/"), tail)).otherwise(p)
 
 
-def resolve(base: Column | str, ref: Column | str) -> Column:
-    """ref as an absolute URL, seen from base (RFC 3986, 5.3); an empty ref is base itself."""
-    b, r = _c(base), _c(ref)
-    root = F.concat(part(b, 1), F.lit("://"), part(b, 2))
-    own = F.regexp_replace(part(b, 3), "[^/]*$", "")
-    own = F.when(own == "", F.lit("/")).otherwise(own)
+def base_parts(base: Column) -> Column:
+    """What resolving against a base needs of it, as a struct."""
+    own = F.regexp_replace(part(base, 3), "[^/]*$", "")
+    return F.struct(
+        base.alias("whole"), part(base, 1).alias("scheme"), F.concat(part(base, 1), F.lit("://"), part(base, 2)).alias("root"), part(base, 3).alias("path"),
+        F.when(own == "", F.lit("/")).otherwise(own).alias("folder"), F.regexp_replace(base, "#.*$", "").alias("page"),
+    )
+
+
+def resolve_at(b: Column, r: Column) -> Column:
+    """resolve() with the base given as base_parts()."""
     after = F.regexp_extract(r, r"^[^?#]*(.*)$", 1)
     return (
-        F.when(r == "", b)
+        F.when(r == "", b["whole"])
+        .when(r.startswith("/") & ~r.startswith("//"), F.concat(b["root"], without_dots(part(r, 3)), after))
         .when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), r)
-        .when(r.startswith("//"), F.concat(part(b, 1), F.lit(":"), r))
-        .when(r.startswith("/"), F.concat(root, without_dots(part(r, 3)), after))
-        .when(r.startswith("?"), F.concat(root, part(b, 3), r))
-        .when(r.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), r))
-        .otherwise(F.concat(root, without_dots(F.concat(own, part(r, 3))), after))
+        .when(r.startswith("//"), F.concat(b["scheme"], F.lit(":"), r))
+        .when(r.startswith("?"), F.concat(b["root"], b["path"], r))
+        .when(r.startswith("#"), F.concat(b["page"], r))
+        .otherwise(F.concat(b["root"], without_dots(F.concat(b["folder"], part(r, 3))), after))
     )
 
 
+def resolve(base: Column | str, ref: Column | str) -> Column:
+    """ref as an absolute URL, seen from base (RFC 3986, 5.3); an empty ref is base itself."""
+    return resolve_at(base_parts(_c(base)), _c(ref))
+
+
+def resolve_all(base: Column, refs: Column) -> Column:
+    """Each of an array of refs resolved; the base is taken apart once a row."""
+    return F.element_at(F.transform(F.array(base_parts(base)), lambda b: F.transform(refs, lambda r: resolve_at(b, r))), 1)
+
+
 def extension(url: Column | str) -> Column:
     """Text behind the last dot of the whole path, without the dot; '' where there is none."""
     p = part(url, 3)
