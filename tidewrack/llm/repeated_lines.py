@@ -45,7 +45,8 @@ def line_occurrences(fetches: DataFrame, id_col: str, url_col: str, text_col: st
     independent 64-bit hashes of the normal form."""
     base = fetches.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(text_col).alias("text")).where("url IS NOT NULL AND text IS NOT NULL")
     pages = base.select("id", "url", urls.site(F.col("url")).alias("source"), "text").where("source <> ''")
-    docs = number_documents(pages)
+    # numbered over all urls, so that this pass reads no texts
+    docs = number_documents(fetches.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url")).select("url", urls.site(F.col("url")).alias("source")))
     placed = pages.join(docs, ["source", "url"])
     lines = placed.select(
         "id", "source", F.shiftright("doc", 6).alias("word"), F.expr("shiftleft(1L, CAST(pmod(doc, 64) AS INT))").alias("bit"),
@@ -69,8 +70,10 @@ def repeated_occurrences(fetches: DataFrame, min_docs: int = 4, id_col: str = "f
     """
     occ = line_occurrences(fetches, id_col, url_col, text_col)
     keys = ["source", "l1", "l2"]
-    frequent = line_bitmaps(occ).groupBy(*keys).agg(F.sum(F.bit_count("bits")).alias("docs")).where(F.col("docs") >= min_docs)
-    found = occ.join(frequent.select(*keys), keys, "left_semi")
+    bitmaps = line_bitmaps(occ)
+    frequent = bitmaps.groupBy(*keys).agg(F.sum(F.bit_count("bits")).alias("docs")).where(F.col("docs") >= min_docs).select(*keys)
+    # the word is part of the key, so that a line on most pages is looked up by many tasks
+    found = occ.join(bitmaps.join(frequent, keys, "left_semi"), [*keys, "word"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
     return found.select(F.col("id").alias(id_col), F.col("line_no").cast("int").alias("line_no"))
 
 
