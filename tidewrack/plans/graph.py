@@ -11,7 +11,7 @@ from tidewrack.config import CrawlConfig, GraphConfig, Mode
 from tidewrack.functions import html, urls
 from tidewrack.operators import frontier, links
 from tidewrack.plans.web import CANON
-from tidewrack.session import table
+from tidewrack.session import spread, table
 
 SEEDS = ["ivory-notes.example", "quartz-workshop.example"]
 ALLOWED = ["ivory-notes.example", "fallow-almanac.example", "cinder-review.example"]
@@ -27,7 +27,7 @@ def config(mode: Mode, **kw) -> GraphConfig:
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
     """Links once each: rows that were delivered twice count once."""
-    return table(spark, d, "links").where("url IS NOT NULL").dropDuplicates(["link_id"])
+    return spread(table(spark, d, "links").where("url IS NOT NULL")).dropDuplicates(["link_id"])
 
 
 def _priority(mode: Mode = Mode.WHITELIST, text: bool = True):
@@ -125,7 +125,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
     f = table(spark, d, "fetches").where("parsed_data.html IS NOT NULL").select("fetch_id", "url", "fetched_at", F.col("parsed_data.html").alias("html"))
     first = dedup.first_by(f.select("fetch_id", "url", "fetched_at"), urls.canonical("url"), ["fetched_at", "fetch_id"]).where("NOT is_duplicate").select("fetch_id")
-    p = f.join(first, "fetch_id", "left_semi").select("url", html.links(F.col("html"), F.col("url")).alias("links"))
+    p = spread(f).join(first, "fetch_id", "left_semi").select("url", html.links(F.col("html"), F.col("url")).alias("links"))
     e = links.page_edges(p, GraphConfig(), F.lit(0))
     best = e.groupBy("url").agg(F.max("priority").alias("priority"))
     return frontier.pop(best, 100)

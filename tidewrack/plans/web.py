@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewrack.functions import html, urls
 from tidewrack.operators import dedup, dom, nested, pages
 from tidewrack.sources import replay, storage
-from tidewrack.session import table
+from tidewrack.session import spread, table
 
 RFC = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 CAPACITY = 100_000
@@ -65,7 +65,8 @@ def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_hash(spark: SparkSession, d: str) -> DataFrame:
-    return _fetches(spark, d).where("content IS NOT NULL").select("fetch_id", html.content_hash(F.col("content")).alias("hash"))
+    f = spread(_fetches(spark, d).where("content IS NOT NULL").select("fetch_id", "content"))
+    return f.select("fetch_id", html.content_hash(F.col("content")).alias("hash"))
 
 
 def content_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +85,7 @@ def bloom_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _html(spark: SparkSession, d: str) -> DataFrame:
-    return _fetches(spark, d).where("parsed_data.html IS NOT NULL").select("fetch_id", "url", F.col("parsed_data.html").alias("html"))
+    return spread(_fetches(spark, d).where("parsed_data.html IS NOT NULL").select("fetch_id", "url", F.col("parsed_data.html").alias("html")))
 
 
 def page_title(spark: SparkSession, d: str) -> DataFrame:
