@@ -29,7 +29,17 @@ def make_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
     return b.getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies, whatever the driver's own search path; for
+    executors that don't see the folder there is ship()."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,6 +70,7 @@ def spread(df: DataFrame) -> DataFrame:
     """df as it is where its scan has at least a split per core; a table in fewer files or row groups
     than that is dealt out to the cores, for the work per row that follows. Large tables are never
     shuffled by this."""
+    importable(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df if splits >= cores else df.repartition(cores)
