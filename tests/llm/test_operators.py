@@ -163,6 +163,17 @@ def test_main_lines_of_tables(spark, common):
     assert main_content.find_main_lines(empty, common).count() == spam.find_stuffed(empty, common).count() == templates.find_residue(empty, common).count() == 0
 
 
+def test_keyword_behind_articles_is_stuffed(spark, common):
+    rng = random.Random(7)
+    town = lambda: "".join(rng.choice("bcdfghjklmnprstvw") for _ in range(7))
+    listed = " | ".join(f"{rng.choice(['cheap', 'buy', 'original'])} die Karte in {town()}" for _ in range(30))
+    told = " ".join(f"The lantern of {town()} is the lantern for {town()} {town()}." for _ in range(15))
+    subject = " ".join(f"The {town()} {town()} of the {town()} was in the {rng.choice(['lantern', town(), town()])} and {town()} {town()}." for _ in range(30))
+    pages = [page(f"<main>\n<h1>A head</h1>\n<p>{x}</p>\n</main>") for x in (listed, told, subject)]
+    rows = [fetch(i, f"https://a.example/{i}", h, lines_of(h)) for i, h in enumerate(pages)]
+    assert sorted(r.fetch_id for r in spam.find_stuffed(spark.createDataFrame(rows, FETCH), common).collect()) == [0, 1]
+
+
 @pytest.mark.parametrize("title,want", [("{{ page.title }}", True), ("${post.name} - Site", True), ("<%= item.x %> | Site", True), ("@@a_b@@", True), ("Untitled", True), ("", False), (None, False), ("How {{name}} ended in our titles", False), ("The mill", False), ("Sample page | Site", True)])
 def test_titles(title, want):
     assert templates.unfilled_title(title or "", "https://site.example/x") is want

@@ -1,9 +1,11 @@
 """Keyword-stuffed pages, link lists and lists of product tags.
 
-The main area of a page is measured: share of its most frequent pair of content words and of all
-repeated pairs, duplicate lines, link-text ratio, separators per word, words per full stop, and the
-share of function words. What is few for function words depends on the language, so the bound is a
-fraction of the median of all pages of that language; the other bounds hold for all languages.
+The main area of a page is measured: share of its most frequent content word, of its most frequent
+pair of content words and of all repeated pairs, duplicate lines, link-text ratio, separators per
+word, words per full stop, and the share of function words. Pairs are of content words next to each
+other when function words are left out. What is few for function words and much for one content word
+depends on the language, so these bounds are multiples of the medians of all pages of that language;
+the other bounds hold for all languages.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2})", re.I)
 IDEOGRAPH = re.compile("[぀-鿿]")
 #: Frequent function characters of Chinese and Japanese, which have no word borders.
 PARTICLES = re.compile("[的了在和是不把被后前里上下边は が を の に で と も た]")
+#: Least and greatest bound on the share of one word in the content words.
+MUCH = 0.15, 0.25
 
 FEATURES = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType()), T.StructField("function", T.DoubleType()),
-    T.StructField("top_pair", T.DoubleType()), T.StructField("top_phrase", T.DoubleType()), T.StructField("repeated", T.DoubleType()), T.StructField("separators", T.DoubleType()),
+    T.StructField("top_word", T.DoubleType()), T.StructField("top_pair", T.DoubleType()), T.StructField("top_phrase", T.DoubleType()), T.StructField("repeated", T.DoubleType()), T.StructField("separators", T.DoubleType()),
     T.StructField("per_stop", T.DoubleType()), T.StructField("linked", T.DoubleType()), T.StructField("double_lines", T.DoubleType()), T.StructField("links", T.IntegerType()),
 ])
 
@@ -55,17 +59,19 @@ def features(page: Page, source: str, common: dict[str, frozenset[str]]) -> tupl
         function = min(1.0, 3 * len(PARTICLES.findall(text)) / wide)
     else:
         function = max((sum(w in own for w in words) for k, own in common.items() if k), default=0) / n
-    pairs = Counter(zip(words, words[1:]))
-    rep = [c for (a, b), c in pairs.items() if c >= 3 and a not in everything and b not in everything]
+    # single letters are what elision leaves of function words
+    content = [w for w in words if len(w) > 1 and w not in everything]
+    top = max(Counter(content).values(), default=0) / max(len(content), 1)
+    rep = [c for c in Counter(zip(content, content[1:])).values() if c >= 3]
     phrases = Counter(zip(words, words[1:], words[2:], words[3:]))
     kept = [x.text.strip().lower() for x in lines]
     return (
-        lang, n, function, 2 * max(rep, default=0) / n, 4 * max(phrases.values(), default=0) / n, 2 * sum(rep) / n, len(SEPARATOR.findall(text)) / n, n / (len(STOP.findall(text)) + 1),
+        lang, n, function, top, 2 * max(rep, default=0) / n, 4 * max(phrases.values(), default=0) / n, 2 * sum(rep) / n, len(SEPARATOR.findall(text)) / n, n / (len(STOP.findall(text)) + 1),
         area.linked / max(area.size, 1), 1 - len(set(kept)) / len(kept), sum(x.linked > 0.5 * x.size for x in lines),
     )
 
 
-KINDS = [pa.string(), pa.int32(), *[pa.float64()] * 8, pa.int32()]
+KINDS = [pa.string(), pa.int32(), *[pa.float64()] * 9, pa.int32()]
 
 
 def word_lists(rows: list) -> dict[str, frozenset[str]]:
@@ -91,15 +97,17 @@ def page_features(pages: DataFrame, common_words: DataFrame) -> DataFrame:
     return spread(pages.select("id", "html", "text")).mapInArrow(run, schema)
 
 
-def calibrated(measured: DataFrame, fraction: float = 0.45) -> DataFrame:
-    """measured with `few`, the bound on the share of function words: a fraction of the median of
-    all pages of the language that have sentences. There are at most as many languages as two
-    letters can name, so the medians are broadcast."""
+def calibrated(measured: DataFrame, fraction: float = 0.45, times: float = 6.0) -> DataFrame:
+    """measured with `few` and `much`, the bounds on the shares of function words and of the most
+    frequent content word: multiples of the medians of all pages of the language that have sentences,
+    `much` between MUCH. There are at most as many languages as two letters can name, so the medians
+    are broadcast."""
     medians = (
         measured.where("words >= 30 AND per_stop < 60 AND function > 0").groupBy("lang")
-        .agg((F.percentile_approx("function", 0.5, 1000) * fraction).alias("few"))
+        .agg((F.percentile_approx("function", 0.5, 1000) * fraction).alias("few"), (F.expr("percentile_approx(IF(words >= 60, top_word, NULL), 0.5, 1000)") * times).alias("much"))
     )
-    return measured.join(F.broadcast(medians), "lang", "left").withColumn("few", F.coalesce("few", F.lit(0.05)))
+    much = F.least(F.greatest(F.coalesce("much", F.lit(MUCH[1])), F.lit(MUCH[0])), F.lit(MUCH[1]))
+    return measured.join(F.broadcast(medians), "lang", "left").withColumns({"few": F.coalesce("few", F.lit(0.05)), "much": much})
 
 
 def stuffed() -> Column:
@@ -107,6 +115,7 @@ def stuffed() -> Column:
     c = F.col
     keywords = (c("words") >= 30) & (c("per_stop") > 45) & (c("function") < c("few")) & ((c("repeated") > 0.35) | (c("separators") > 0.2) | (c("double_lines") > 0.3))
     phrases = (c("words") >= 60) & ((c("top_pair") > 0.11) | ((c("top_pair") > 0.07) & (c("repeated") > 0.75)))
+    phrases |= (c("words") >= 60) & (c("top_word") > c("much"))
     phrases |= (c("words") >= 200) & (c("top_phrase") > 0.19) & ~c("lang").isin("zh", "ja")
     links = (c("links") >= 10) & (c("linked") > 0.7) & (c("function") < 0.1)
     return F.coalesce(keywords | phrases | links, F.lit(False))
