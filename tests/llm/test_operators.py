@@ -210,6 +210,23 @@ def test_residue(spark, common):
     assert got == [100, 101, 102, 103, 200, 201, 202]
 
 
+def test_copies_of_an_article_are_one_page(spark, common):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfghjklmnprstvw") for _ in range(6))
+    body = [" ".join(f"The {word()} of the {word()} was in the {word()} {word()}." for _ in range(5)) for _ in range(4)]
+    long = page("<main>\n<h1>The mill</h1>\n" + "".join(f"<p>{x}</p>\n" for x in body) + "</main>")
+    short = page("<main>\n<h1>The weir</h1>\n<p>The keeper of the weir was in the garden with a lantern.</p>\n</main>")
+    notice = page("<main>\n<h1>Sorry</h1>\n<p>Please turn on scripts in this browser to read the page.</p>\n</main>")
+    rows = [fetch(i, f"https://mirror{i}.example/x/{i}", long, lines_of(long)) for i in range(6)]
+    rows += [fetch(20 + i, f"http{'s' * (i % 2)}://A.example/weir{'/' * (i // 2)}", short, lines_of(short)) for i in range(4)]
+    rows += [fetch(40 + i, f"https://h{i}.example/n{i}", notice, lines_of(notice)) for i in range(4)]
+    df = spark.createDataFrame(rows, FETCH)
+    assert sorted(r.fetch_id for r in templates.find_residue(df, common).collect()) == [40, 41, 42, 43]
+    text = lines_of(long).split("\n")
+    got = sorted(tuple(r) for r in main_content.find_main_lines(df, common).where("fetch_id < 20").collect())
+    assert got == [(i, text.index(x)) for i in range(6) for x in ["The mill", *body]]
+
+
 # --- p8
 
 

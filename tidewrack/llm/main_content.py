@@ -107,23 +107,24 @@ def find_main_lines(fetches: DataFrame, common_words: DataFrame, id_col: str = "
         F.col(id_col).alias("id"), F.coalesce("url", F.lit("")).alias("url"), F.col("parsed_data.html").alias("html"), F.col("parsed_data.text_content").alias("text"))
     schema = T.StructType([
         T.StructField("id", fetches.schema[id_col].dataType), T.StructField("url", T.StringType()), T.StructField("text_flag", T.BooleanType()),
-        T.StructField("lines", T._parse_datatype_string(templates.LINES)), T.StructField("body", T.ArrayType(T.IntegerType())), *spam.FEATURES,
+        T.StructField("lines", T._parse_datatype_string(templates.LINES)), T.StructField("article", T.LongType()), T.StructField("body", T.ArrayType(T.IntegerType())), *spam.FEATURES,
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flags, lines, body, measured = [], [], [], []
+            flags, lines, articles, body, measured = [], [], [], [], []
             for i in range(b.num_rows):
                 url, source, text = (b.column(k)[i].as_py() or "" for k in (1, 2, 3))
                 page = mend_lines(read_page(source, text))
-                _, flag, found = templates.read_record(url, "", page, lists[""])
+                _, flag, found, article = templates.read_record(url, "", page, lists[""])
                 flags.append(flag)
                 lines.append([{"template": t, "named": n, "own": o} for t, n, o in found])
+                articles.append(article)
                 body.append(main_lines(page))
                 measured.append(spam.features(page, source, lists) or (None,) * len(spam.KINDS))
             columns = zip(*measured) if measured else [()] * len(spam.KINDS)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(flags, pa.bool_()), pa.array(lines, templates.LINES_ARROW), pa.array(body, pa.list_(pa.int32())),
+                [b.column(0), b.column(1), pa.array(flags, pa.bool_()), pa.array(lines, templates.LINES_ARROW), pa.array(articles, pa.int64()), pa.array(body, pa.list_(pa.int32())),
                  *(pa.array(c, k) for c, k in zip(columns, spam.KINDS))], schema.names)
 
     read = cut(spread(pages).mapInArrow(run, schema))
