@@ -373,3 +373,8 @@ def test_very_long_texts(spark, common):
     assert repeated_lines.repeated_occurrences(df).count() == 0
     assert encoding.mend("é" * 300_000)[0] in (True, False)
     assert quality.shares("The cat of the mill is in the yard. " * 20_000, quality.Lists(COMMON))[2] > 0.9
+
+
+def test_blank_texts_are_not_cases(spark, common):
+    docs = spark.createDataFrame([(1, "\u00a0\t"), (2, "\u3000\n"), (3, ""), (4, None), (5, "- a\n- b\n- c")], "doc_id long, text string")
+    assert [r.doc_id for r in quality.find_not_prose(docs, common).collect()] == [5]

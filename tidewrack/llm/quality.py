@@ -229,5 +229,5 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc
 def find_not_prose(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col): documents of which less than PROSE of the characters are in running sentences. Null,
     empty and blank texts aren't cases."""
-    stats = text_statistics(docs.where(f"{text_col} RLIKE '[^\\\\s]'"), common_words, id_col, text_col)
-    return stats.where(stats["prose_share"] < PROSE).select(id_col)
+    stats = text_statistics(docs, common_words, id_col, text_col)
+    return stats.where(stats["has_text"] & (stats["prose_share"] < PROSE)).select(id_col)
