@@ -143,6 +143,16 @@ def test_lines_are_placed():
     assert kept == ["Head", f"{ARTICLE} more text.", "Sub", "an entry"]
 
 
+def test_lines_behind_a_run_that_the_text_lacks_are_placed():
+    menu = "".join(f'<a href="/{i}">Entry {i}</a>\n' for i in range(90))
+    html = page(f'<div class="more">\n{menu}</div>\n<main>\n<h1>Head</h1>\n<p>{ARTICLE} <a href="x">more</a> text.</p>\n</main>')
+    text = "\n".join(x for x in lines_of(html).split("\n") if not x.startswith("Entry"))
+    p = pagetree.read_page(html, f"not there\n{text}")
+    assert not p.aligned and [x.text for x in p.lines if x.block < 0] == ["not there"]
+    assert [p.lines[i].text for i in main_content.main_lines(p)] == ["Head", f"{ARTICLE} more text."]
+    assert [x.linked for x in p.lines if x.text.startswith(ARTICLE)] == [4]
+
+
 def test_unclosed_and_odd_markup():
     for html in ("", "<p>one<p>two", "<<>><a", "</p></div>x", "<p class=>x</p>", "<div>" * 3000 + "deep text" + "</div>" * 3000):
         p = pagetree.read_page(html, "one\ntwo\n\ndeep text")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from tidewrack.llm.encoding import mend
 
@@ -87,13 +89,27 @@ def _bare(text: str) -> str:
     return SPACE.sub("", text)
 
 
+def _find_nodes(whole: str, starts: list[int], want: str, first: int) -> tuple[int, int] | None:
+    """The first run of whole nodes, from the node `first` on, whose texts together are `want`. A node
+    starts at starts[i] of whole, the texts of all nodes."""
+    at = whole.find(want, starts[first])
+    while at >= 0:
+        i, j = bisect_right(starts, at) - 1, bisect_left(starts, at + len(want))
+        if starts[i] == at and starts[j] == at + len(want):
+            return i, j
+        at = whole.find(want, at + 1)
+    return None
+
+
 def read_page(source: str, text: str) -> Page:
     """The lines of text, each placed in the tree of source. Text nodes are dealt out to the lines in
-    order; where the two disagree, a line is left unplaced (block -1) and the page is not aligned."""
+    order; where the two disagree the page is not aligned, and a line is looked up further on, else
+    anywhere; one that is nowhere is left unplaced (block -1)."""
     page = Page()
     chunks = _chunks(source, page.elements)
     el = page.elements
     k = 0
+    whole, starts = "", []
     for line in text.split("\n"):
         want = _bare(line)
         out = Line(line, size=len(want))
@@ -110,17 +126,20 @@ def read_page(source: str, text: str) -> Page:
                 out.linked += len(part)
             k += 1
         if done < len(want):
-            # not where it should be: look for a node that holds the whole line further on
-            page.aligned = False
+            # not where it should be: look for the nodes that hold the line further on, else anywhere
+            if page.aligned:
+                parts = [_bare(c[0]) for c in chunks]
+                whole, starts = "".join(parts), [0, *accumulate(map(len, parts))]
+                page.aligned = False
             k = start
-            for j in range(start, min(start + 50, len(chunks))):
-                if _bare(chunks[j][0]) == want:
-                    k = j + 1
-                    start = j
-                    out.linked = len(want) if chunks[j][2] else 0
-                    break
-            else:
+            found = _find_nodes(whole, starts, want, start)
+            if found is None:
+                found = _find_nodes(whole, starts, want, 0)
+            if found is None:
+                out.linked = 0
                 continue
+            start, k = found
+            out.linked = sum(starts[j + 1] - starts[j] for j in range(start, k) if chunks[j][2])
         # the nearest element around all nodes of the line
         at = chunks[start][1]
         if k - start > 1:
