@@ -173,6 +173,11 @@ def test_main_lines_of_tables(spark, common):
     assert main_content.find_main_lines(empty, common).count() == spam.find_stuffed(empty, common).count() == templates.find_residue(empty, common).count() == 0
 
 
+def test_language_behind_a_long_comment():
+    assert spam.language(f"<!-- {'x' * 3000} <html lang='fr'> -->\n<HTML class=a lang=de-AT><p lang='en'>") == "de"
+    assert spam.language("<html><p lang='en'>") == spam.language("") == spam.language("<!-- <html lang='de'>") == "und"
+
+
 def test_keyword_behind_articles_is_stuffed(spark, common):
     rng = random.Random(7)
     town = lambda: "".join(rng.choice("bcdfghjklmnprstvw") for _ in range(7))

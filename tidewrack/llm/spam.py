@@ -26,7 +26,8 @@ from tidewrack.session import cut, spread
 WORD = re.compile(r"[^\W\d_]+")
 SEPARATOR = re.compile(r"[|,;/#•·、，；]")
 STOP = re.compile(r"[.!?。！？…](?:\W|$)")
-LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2})", re.I)
+ROOT = re.compile(r"<!--.*?(?:-->|\Z)|<html\b([^>]*)", re.I | re.S)
+LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2})", re.I)
 IDEOGRAPH = re.compile("[぀-鿿]")
 #: Frequent function characters of Chinese and Japanese, which have no word borders.
 PARTICLES = re.compile("[的了在和是不把被后前里上下边は が を の に で と も た]")
@@ -40,6 +41,13 @@ FEATURES = T.StructType([
 ])
 
 
+def language(source: str) -> str:
+    """The language that the first html tag outside comments names; "und" without one."""
+    root = next((m.group(1) for m in ROOT.finditer(source) if m.group(1) is not None), "")
+    m = LANG.search(root)
+    return m.group(1).lower() if m else "und"
+
+
 def features(page: Page, source: str, common: dict[str, frozenset[str]]) -> tuple | None:
     """The values of FEATURES for the main area of a page; None without one."""
     area = main_area(page)
@@ -51,8 +59,7 @@ def features(page: Page, source: str, common: dict[str, frozenset[str]]) -> tupl
     n = len(words)
     if not n:
         return None
-    m = LANG.search(source[:2000])
-    lang = m.group(1).lower() if m else "und"
+    lang = language(source)
     wide = len(IDEOGRAPH.findall(text))
     everything = common[""]
     if wide > 0.3 * len(text):
