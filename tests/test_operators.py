@@ -346,3 +346,14 @@ def test_safe_names_and_positions(spark):
     n = spark.createDataFrame([(1, "n", 1.9, 2.0), (1, "m", 8.0, 8.0)], "id long, node string, x double, y double")
     s = spark.createDataFrame([(1, 1.2, 2.7, 1, "old"), (1, 1.0, 2.0, 2, "new")], "id long, x double, y double, seq int, path string")
     assert {r.node: r.screenshot_path for r in dom.link_by_position(n, s, "id").collect()} == {"n": "new", "m": None}
+
+
+def test_registered_crawls_have_the_default_budget(spark, sf, monkeypatch):
+    from tidewrack.config import CrawlConfig
+    from tidewrack.plans import graph
+
+    seen = []
+    monkeypatch.setattr(graph.frontier, "replay", lambda p, cfg, *a, **k: seen.append(cfg.max_pages))
+    graph.crawl_replay(spark, sf)
+    graph.crawl_queue_depth(spark, sf)
+    assert seen == [CrawlConfig().max_pages] * 2

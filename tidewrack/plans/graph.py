@@ -132,19 +132,19 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def crawl_replay(spark: SparkSession, d: str) -> DataFrame:
-    """A whole-graph crawl of 30 pages in rounds of 10 over the stored pages."""
+    """A whole-graph crawl with the default budget, in rounds of 10, over the stored pages."""
     p = table(spark, d, "fetches").where("parsed_data IS NOT NULL").groupBy("url").agg(F.max_by(F.col("parsed_data.links"), "fetch_id").alias("links"))
     seeds = [r[0] for r in p.where(urls.site("url").isin(SEEDS)).orderBy("url").limit(10).collect()]
-    cfg = CrawlConfig(seeds=tuple(seeds), max_pages=30, graph=GraphConfig(mode=Mode.FOCUSED))
+    cfg = CrawlConfig(seeds=tuple(seeds), graph=GraphConfig(mode=Mode.FOCUSED))
     return frontier.replay(p, cfg, batch=10)
 
 
 def crawl_queue_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Pages taken and urls queued after each round of a short crawl."""
+    """Pages taken and urls queued after each round of a crawl with the default budget."""
     p = table(spark, d, "fetches").where("parsed_data IS NOT NULL").groupBy("url").agg(F.max_by(F.col("parsed_data.links"), "fetch_id").alias("links"))
     seeds = [r[0] for r in p.where(urls.site("url").isin(SEEDS)).orderBy("url").limit(5).collect()]
     log: list[tuple[int, int, int]] = []
-    frontier.replay(p, CrawlConfig(seeds=tuple(seeds), max_pages=20, graph=GraphConfig(mode=Mode.FOCUSED)), 10, log)
+    frontier.replay(p, CrawlConfig(seeds=tuple(seeds), graph=GraphConfig(mode=Mode.FOCUSED)), 10, log)
     return spark.createDataFrame(log, "round int, pages int, queue_depth int")
 
 
