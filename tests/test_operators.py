@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewrack.config import CrawlConfig, GraphConfig, Mode, PolicyConfig
 from tidewrack.functions import urls
 from tidewrack.operators import dedup, dom, frontier, links, metrics, nested, pages, policy, skew
-from tidewrack.session import broadcast_within
+from tidewrack.session import clean, scan_splits, spread, store
 
 LINKS = "link_id long, url string, source_url string, domain string, depth int, priority int, link_text string, count int"
 METRICS = "snapshot_id long, domain string, pages_crawled long, errors long, count int"
@@ -52,10 +52,24 @@ def test_skew_on_empty_tables(spark):
     assert r.count() == 0 and skew.dominating(r, l, m).count() == 0
 
 
-def test_broadcast_within(spark):
-    big = spark.range(100)
-    assert "Broadcast" in spark.range(9).join(broadcast_within(spark.range(5), 10), "id")._jdf.queryExecution().toString()
-    assert broadcast_within(big, 10) is big
+def test_spread_starts_no_job(spark, sf):
+    big = spark.read.parquet(f"{sf}/links.parquet")
+    assert scan_splits(big.where("depth > 0").select("url")) >= 1 and scan_splits(big.groupBy("domain").count()) is None
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("spread", "")
+    spread(big.groupBy("domain").count())
+    assert list(tracker.getJobIdsForGroup("spread")) == []
+    assert spread(big.select("url")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_stored_tables(spark):
+    import os
+
+    d = store(spark.range(5))
+    path = d.inputFiles()[0].removeprefix("file://")
+    assert d.count() == 5 and os.path.exists(path)
+    clean(spark)
+    assert not os.path.exists(path)
 
 
 # --- nested records

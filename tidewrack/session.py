@@ -1,14 +1,15 @@
-"""Session set-up, table reading, checkpoints and size-checked broadcasts."""
+"""Session set-up, table reading, checkpoints and stored tables."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def make_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -44,9 +45,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one is set only where the setting is absent."""
+    """The shared folder that spark.checkpoint.dir names. Without the setting a session on one machine
+    gets a temporary folder; on a cluster that is an error, as other machines couldn't read it."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         d = "file://" + tempfile.mkdtemp(prefix="tidewrack-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -60,20 +64,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """df with a broadcast hint only if it has at most max_rows rows; otherwise df as it is,
-    so that the planner shuffles it (and splits skewed keys at run time)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+_STORED: list[str] = []
+
+
+def store(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
+    """df written once as a Parquet table, of which each reader reads only the columns it needs. Without
+    a path it goes to the shared folder, from which clean() removes it."""
+    if path is None:
+        path = f"{checkpoint_dir(df.sparkSession)}/tidewrack-{uuid.uuid4().hex}"
+        _STORED.append(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the tables that store() wrote to the shared folder; what was built on them is void."""
+    jvm = spark.sparkContext._jvm
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scan_splits(df: DataFrame) -> int | None:
+    """Splits of the file scan that df only filters and selects from; None for all else. Nothing runs."""
+    node = df._jdf.queryExecution().sparkPlan()
+    while node.getClass().getSimpleName() in ("ProjectExec", "FilterExec"):
+        node = node.children().apply(0)
+    return node.inputRDD().getNumPartitions() if node.getClass().getSimpleName() == "FileSourceScanExec" else None
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df as it is where its scan has at least a split per core; a table in fewer files or row groups
-    than that is dealt out to the cores, for the work per row that follows. Large tables are never
-    shuffled by this."""
+    """df as it is where its scan has at least a split per core, or where it isn't a plain scan; a table
+    in fewer files or row groups than that is dealt out to the cores, for the work per row that
+    follows. Large tables are never shuffled by this, and no job is started."""
     importable(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if splits >= cores else df.repartition(cores)
+    splits = scan_splits(df)
+    return df.repartition(cores) if splits is not None and splits < cores else df
 
 
 def ship(spark: SparkSession) -> None:
