@@ -1,8 +1,9 @@
 """Texts decoded with the wrong character encoding: finding and restoring them.
 
 Round-trip repair: a segment is re-encoded under a candidate legacy encoding and strictly decoded as
-the encoding it may have been meant in; the best candidate is accepted when the garbling cost drops
-by enough, and the result is tried again for nested layers. Where the intended encoding is UTF-8 and
+the encoding it may have been meant in; candidates count when the garbling cost drops by enough. For
+nested layers the best candidates are tried again, any number of times, and the chain that ends in the
+least cost is accepted. Where the intended encoding is UTF-8 and
 the legacy one has single bytes, each span that reads as a UTF-8 sequence is decoded by itself, so
 that segments which are garbled in part are repaired in part.
 """
@@ -20,7 +21,8 @@ from pyspark.sql import types as T
 
 from tidewrack.session import spread
 
-LAYERS = 4
+#: Chains of repairs that are followed side by side, the least garbled ones.
+BEAM = 6
 #: Least drop of the cost, absolute and as a share, for a repair to be accepted: of text meant as
 #: UTF-8, whose sequences hardly occur by chance, and of text meant in a legacy encoding.
 DROP, SHARE = 1.0, 0.4
@@ -170,39 +172,68 @@ def _runs(text: str, encoding: str) -> str:
     return RUN.sub(one, text)
 
 
-def _meant_utf8(text: str) -> Iterator[str]:
+def _meant_utf8(text: str) -> Iterator[tuple[str, str]]:
+    """(encoding, text read as UTF-8 under it)."""
     for e in SINGLE:
-        yield _spans(text, e)
+        yield e, _spans(text, e)
     if HAN.search(text) or KATAKANA.search(text):
         for e in MULTI:
-            yield _runs(text, e)
+            yield e, _runs(text, e)
 
 
-def _meant_legacy(text: str) -> Iterator[str]:
+def _meant_legacy(text: str) -> Iterator[tuple[str, str]]:
     for a, b in LEGACY:
         raw = _encode(text, a)
         if raw is not None:
             try:
-                yield raw.decode(b)
+                yield a, raw.decode(b)
             except UnicodeDecodeError:
                 pass
 
 
+def _wholly(text: str, encoding: str) -> bool:
+    """Does every sign of a text that isn't ASCII belong to a UTF-8 sequence under an encoding?"""
+    return encoding in UTF8 and UTF8[encoding].sub("", text).isascii()
+
+
+def _steps(text: str, now: float) -> list[tuple[bool, float, str]]:
+    """(in part only, cost, text) of the repairs of one layer: those that drop the cost by enough, and
+    where none ends the garbling also those that leave nothing undecoded, which hardly occur by chance.
+    Text meant in a legacy encoding is tried where there is none meant as UTF-8."""
+    tried: dict[str, tuple[str, float]] = {}
+    for e, t in _meant_utf8(text):
+        if t != text and t not in tried:
+            tried[t] = (e, cost(t))
+    enough = [t for t, (_, c) in tried.items() if now - c >= max(DROP, SHARE * now)]
+    if enough and (least := min(enough, key=lambda t: tried[t][1])) and tried[least][1] < DROP:
+        return [(False, tried[least][1], least)]
+    found = [(not whole, c, t) for t, (e, c) in tried.items() if (whole := _wholly(text, e)) or t in enough]
+    if not found:
+        for _, t in _meant_legacy(text):
+            if t != text and now - (c := cost(t)) >= max(LEGACY_DROP, LEGACY_SHARE * now):
+                found.append((True, c, t))
+    return found
+
+
 def repair(text: str) -> tuple[str, int]:
-    """The restored text and the number of layers taken off; (text, 0) where nothing is accepted."""
-    layers, now = 0, cost(text)
-    while layers < LAYERS and now >= DROP:
-        for tries, drop, share in ((_meant_utf8, DROP, SHARE), (_meant_legacy, LEGACY_DROP, LEGACY_SHARE)):
-            best, least = text, now
-            for t in tries(text):
-                if t != text and (c := cost(t)) < least:
-                    best, least = t, c
-            if now - least >= max(drop, share * now):
-                break
-        else:
-            break
-        text, now, layers = best, least, layers + 1
-    return text, layers
+    """The restored text and the number of layers taken off; (text, 0) where nothing is accepted.
+
+    Layers are taken off one at a time, along the BEAM best chains at once (those first that leave
+    nothing undecoded, then the least garbled), as long as there are any; the chain with the least cost
+    at its end is accepted if it drops the cost by enough, of equal ones the shortest."""
+    start = cost(text)
+    if start < DROP:
+        return text, 0
+    best, beam, layers, seen = (start, 0, text), [(False, start, text)], 0, {text}
+    while beam and best[0] >= DROP:
+        layers += 1
+        grown = {x[2]: x for _, c, t in beam if c >= DROP for x in _steps(t, c) if x[2] not in seen}
+        beam = sorted(grown.values(), key=lambda x: x[:2])[:BEAM]
+        seen.update(grown)
+        for _, c, t in beam:
+            if c < best[0]:
+                best = (c, layers, t)
+    return (best[2], best[1]) if start - best[0] >= max(DROP, SHARE * start) else (text, 0)
 
 
 def quoted(text: str, fixed: str) -> bool:
