@@ -1,10 +1,11 @@
 """Text statistics of each document, and the documents that aren't prose.
 
 Counts of words, symbols, line ends and common words are joined by repetition statistics (duplicate
-lines and paragraphs, characters covered by the most frequent word n-grams). A document is prose if
-most of its characters are in running sentences: wrapped lines are joined first, then bullets, rows
-of short cells, log and code lines are set apart, and what is left counts sentence by sentence by
-its words, function words and signs.
+lines and paragraphs, characters covered by the most frequent word n-grams). Characters in running
+sentences are counted so: wrapped lines are joined first, then bullets, rows of short cells, log and
+code lines are set apart, and what is left counts sentence by sentence by its words, function words
+and signs. Combined rules over the statistics decide: what share is prose, how much of a text comes
+back (lists, boilerplate), and whether there are lists or rows at all.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewrack.llm.signs import word_rows
@@ -22,10 +24,15 @@ from tidewrack.session import spread
 
 #: Share of characters in running sentences below which a text isn't prose.
 PROSE = 0.5
-#: Least words of a sentence, and least share of function words in its language's best list; for the
-#: languages whose lists cover less, a lower one.
-WORDS, FUNCTION, FUNCTION_SPARSE = 6, 0.1, 0.045
-SPARSE = frozenset({"pl", "ru"})
+#: Least words of a sentence, and least share of function words for the longest list of words; of a
+#: shorter list, which covers less of a text, as much less as it is shorter.
+WORDS, FUNCTION = 6, 0.1
+#: Combined rules: of texts with this share of prose at most, those are no prose in which this share of
+#: lines or of paragraphs comes back, or of characters is covered by one phrase of four words.
+REPEATED_PROSE, REPEATED = 0.75, 0.25
+#: And those are prose still, with this share of prose at least, that hold no lists, rows or repetition
+#: and have lines of this width.
+MIXED_PROSE, MIXED_WIDTH = 0.35, 40
 
 WORD = re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[^\w\s.,!?'\"“”’‘«»„…、。，！？；：:;()\-–—·「」『』（）]")
@@ -50,7 +57,7 @@ STATS = [
     ("punctuated_lines", pa.float64(), T.DoubleType()), ("common_words", pa.float64(), T.DoubleType()), ("duplicate_lines", pa.float64(), T.DoubleType()),
     ("duplicate_paragraphs", pa.float64(), T.DoubleType()), ("top_2gram_chars", pa.float64(), T.DoubleType()), ("top_3gram_chars", pa.float64(), T.DoubleType()),
     ("top_4gram_chars", pa.float64(), T.DoubleType()), ("list_share", pa.float64(), T.DoubleType()), ("row_share", pa.float64(), T.DoubleType()),
-    ("prose_share", pa.float64(), T.DoubleType()),
+    ("prose_share", pa.float64(), T.DoubleType()), ("line_width", pa.float64(), T.DoubleType()),
 ]
 
 
@@ -60,12 +67,15 @@ class Lists:
     def __init__(self, rows: list):
         self.all = frozenset(w for _, w in rows)
         self.by = {k: frozenset(w for lang, w in rows if lang == k) for k in {lang for lang, _ in rows}}
+        most = max(map(len, self.by.values()), default=1)
+        self.bound = {k: FUNCTION * len(own) / most for k, own in self.by.items()}
+        self.least = min(self.bound.values(), default=FUNCTION)
 
     def enough(self, words: list[str]) -> bool:
         """Are there as many function words as sentences of some language have?"""
         n = len(words)
         hits = list(filter(self.all.__contains__, words))
-        return len(hits) >= min(FUNCTION, FUNCTION_SPARSE) * n and any(sum(map(own.__contains__, hits)) >= (FUNCTION_SPARSE if k in SPARSE else FUNCTION) * n for k, own in self.by.items())
+        return len(hits) >= self.least * n and any(sum(map(own.__contains__, hits)) >= self.bound[k] * n for k, own in self.by.items())
 
 
 def ends(line: str) -> bool:
@@ -111,6 +121,9 @@ def has_shape(s: str, words: list[str]) -> bool:
     letters = sum(map(len, words))
     if len(words) < WORDS or letters < 0.6 * (len(s) - s.count(" ")) or not 2.2 * len(words) <= letters <= 18 * len(words):
         return False
+    # words stand between spaces; those of encoded data stand between signs
+    if len(s.split()) < 0.6 * len(words):
+        return False
     low = s.lower()
     vowels = sum(map(low.count, VOWELS))
     return vowels >= 0.22 * letters or not s.isascii() and vowels + sum(map(low.count, MORE_VOWELS)) >= 0.22 * letters
@@ -204,7 +217,7 @@ def statistics(text: str | None, lists: Lists) -> tuple:
     dup = lambda xs: 1 - len(set(xs)) / len(xs)
     return (
         True, n, letters / max(n, 1), len(SYMBOL.findall(text)) / solid, sum(map(ends, lines)) / len(lines),
-        sum(map(lists.all.__contains__, words)) / max(n, 1), dup(lines), dup(paragraphs), *_coverage(words, letters), *shares(text, lists),
+        sum(map(lists.all.__contains__, words)) / max(n, 1), dup(lines), dup(paragraphs), *_coverage(words, letters), *shares(text, lists), solid / len(lines),
     )
 
 
@@ -226,8 +239,17 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc
     return spread(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
+def not_prose() -> Column:
+    """The combined rules, over the columns of STATS; never true of texts without text."""
+    c = F.col
+    repeated = F.greatest("duplicate_lines", "duplicate_paragraphs", F.when(c("n_words") >= 100, c("top_4gram_chars")).otherwise(0.0)) >= REPEATED
+    lists = c("list_share") + c("row_share")
+    mixed = (c("prose_share") >= MIXED_PROSE) & (lists < 0.05) & (c("duplicate_lines") < 0.1) & (c("line_width") >= MIXED_WIDTH)
+    return c("has_text") & (((c("prose_share") < PROSE) & ~mixed) | (repeated & (c("prose_share") < REPEATED_PROSE)))
+
+
 def find_not_prose(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col): documents of which less than PROSE of the characters are in running sentences. Null,
-    empty and blank texts aren't cases."""
-    stats = text_statistics(docs, common_words, id_col, text_col)
-    return stats.where(stats["has_text"] & (stats["prose_share"] < PROSE)).select(id_col)
+    """(id_col): documents that are no prose by the combined rules: less than PROSE of the characters in
+    running sentences and not only prose of several kinds, or less than REPEATED_PROSE and much that comes
+    back. Null, empty and blank texts aren't cases."""
+    return text_statistics(docs, common_words, id_col, text_col).where(not_prose()).select(id_col)
