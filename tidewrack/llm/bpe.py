@@ -114,13 +114,17 @@ class Transducer:
         self.pattern, self.chunk = piece_pattern(), chunk_pattern()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.states: list[tuple] = []
+        self.number: dict[tuple, int] = {}
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._reset()
 
     def _reset(self) -> None:
         start = (None, ((b"", ()),))
-        self.states: list[tuple] = [start]
-        self.number: dict[tuple, int] = {start: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.states[:] = [start]
+        self.number.clear()
+        self.number[start] = 0
+        self.moves.clear()
 
     def _apart(self, left: int, right: int) -> bool:
         ok = self.pairs.get((left, right))
@@ -158,17 +162,20 @@ class Transducer:
         if all(len(w) > shared for _, w in kept):
             last = None  # no later token borders on it
         new = (last, tuple((p, w[shared:]) for p, w in kept))
+        full = len(self.moves) > MEMO
+        if full:
+            self._reset()
         i = self.number.get(new)
         if i is None:
             i = self.number[new] = len(self.states)
             self.states.append(new)
-        self.moves[state << 8 | byte] = move = (i, out)
+        move = (i, out)
+        if not full:  # else the state's number is of the memo that was emptied
+            self.moves[state << 8 | byte] = move
         return move
 
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
         """Tokens of one piece."""
-        if len(self.moves) > MEMO:
-            self._reset()
         out: list[int] = []
         state, moves = 0, self.moves
         for b in data:
@@ -186,15 +193,18 @@ class Transducer:
             if ids is None:
                 ids = self.encode_bytes(w.encode())
                 if len(w) <= 24:
-                    self.pieces[w] = ids
+                    self._keep(w, ids)
             long += ids
         out = tuple(long)
         if len(chunk) <= 32:
-            if len(self.pieces) > MEMO:
-                self.pieces.clear()
-            self.pieces[chunk] = out
+            self._keep(chunk, out)
         return out
 
+    def _keep(self, piece: str, ids: tuple[int, ...]) -> None:
+        if len(self.pieces) >= MEMO:
+            self.pieces.clear()
+        self.pieces[piece] = ids
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         get, make = self.pieces.get, self._encode_chunk
