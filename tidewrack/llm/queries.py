@@ -64,6 +64,16 @@ def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("windows").alias("n_windows"))
 
 
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and items that share ten words in order or nearly so: each at most 2 words off its place."""
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), slop=2).select("doc_id", "item_id")
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Texts decoded from their ids as a stream."""
+    return bpe.decode(p8_ids(spark, d), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.find_not_prose(table(spark, d, "documents"), table(spark, d, "common_words"))
 
@@ -82,7 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p8_lengths": p8_lengths,
+    "p8_decoded": p8_decoded,
     "p9_found": p9_found,
+    "p9_near": p9_near,
     "p9_leaked_items": p9_leaked_items,
     "p10_found": p10_found,
     "p10_stats": p10_stats,
@@ -113,6 +125,7 @@ SQL: dict[str, str] = {
         WITH {_LINES}, k AS (SELECT l.fetch_id, l.line_no, string_split(f.parsed_data.text_content, chr(10))[l.line_no + 1] AS raw FROM lines l JOIN fetches f USING (fetch_id) LEFT JOIN often o USING (source, line) WHERE o.line IS NULL),
         t AS (SELECT fetch_id, string_agg(raw, chr(10) ORDER BY line_no) AS text FROM k GROUP BY fetch_id)
         SELECT f.fetch_id, CASE WHEN f.url IS NULL THEN f.parsed_data.text_content WHEN f.parsed_data.text_content IS NOT NULL THEN coalesce(t.text, '') END AS text FROM fetches f LEFT JOIN t USING (fetch_id)""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM hits",
     "p9_leaked_items": f"WITH {_LEAKS} SELECT item_id, count(*) AS n_docs, CAST(sum(windows) AS BIGINT) AS n_windows FROM hits GROUP BY item_id",
 }
