@@ -2,7 +2,8 @@
 
 Every paragraph gives points for length and commas to its container and half of them to the one
 around it; a container's points are discounted by its link density. The best container and those of
-its siblings that look like its continuation are the body. Within the body, lines that are neither
+its siblings that look like its continuation are the body; of a page that is no container but its
+<body>, the lines that stand in that directly. Within the body, lines that are neither
 headings, list entries nor sentences (bylines, share prompts, marks of advertisements, counters) are
 left out.
 """
@@ -11,24 +12,25 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewrack.llm import spam, templates
-from tidewrack.llm.pagetree import ASIDE, Line, Page, areas, is_heading, mend_lines, read_page
-from tidewrack.llm.signs import SENTENCE, STOP, width, word_rows
-from tidewrack.session import cut, spread
+from tidewrack.llm.pagetree import ASIDE, Line, Page, areas, is_heading
+from tidewrack.llm.signs import SENTENCE, STOP, width
+from tidewrack.session import store
 
 #: Shortest paragraph that gives points, characters; ideographs and kana count three times.
 LEAST = 20
-#: Points for the page's headline; containers with fewer points than FLOOR hold no article; a sibling
-#: needs this share of the best one's points.
+#: Points for the page's headline; containers with fewer points than FLOOR hold no article (<body>
+#: needs three times as many); a sibling needs this share of the best one's points.
 HEADLINE, FLOOR, SIBLING = 6.0, 1.0, 0.35
+#: Mean width of the lines of a sibling without a class.
+PROSE = 100
 
+#: Elements around everything; of them only what they hold directly counts.
+WHOLE = frozenset({"body", "html", "#root"})
 COMMA = re.compile("[,،、，;；]")
 
 
@@ -57,11 +59,13 @@ def score(page: Page) -> dict[int, float]:
                 p *= 0.3
             points[a.element] += p
             up = el[a.element].parent
-            if up > 0 and el[up].tag not in ("body", "html"):
+            if up > 0 and el[up].tag not in WHOLE:
                 points[up] += p / 2
         if a.headline and points[a.element] > 0:
             points[a.element] += HEADLINE
-    return {e: p * (1 - linked[e] / max(size[e], 1)) for e, p in points.items() if el[e].tag not in ("body", "html", "#root")}
+    # links all over the page say nothing about what stands in <body> directly
+    own = lambda e: (found[e].linked, found[e].size) if el[e].tag in WHOLE else (linked[e], size[e])
+    return {e: p * (1 - x / max(n, 1)) for e, p in points.items() for x, n in (own(e),)}
 
 
 def main_lines(page: Page) -> list[int]:
@@ -70,12 +74,15 @@ def main_lines(page: Page) -> list[int]:
     if not points:
         return []
     best = max(points, key=lambda e: (points[e], -e))
-    if points[best] < FLOOR:
-        return []
     el = page.elements
+    if points[best] < FLOOR * (3 if el[best].tag in WHOLE else 1):
+        return []
+    if el[best].tag in WHOLE:
+        direct = sorted(areas(page)[best].lines)
+        return [i for i in direct if not page.lines[i].hidden and keeps(page, page.lines[i])]
     chosen = {best} | {
         e for e in points
-        if el[e].parent == el[best].parent and (el[e].tag, el[e].name) == (el[best].tag, el[best].name) and points[e] >= SIBLING * points[best] and el[e].name
+        if el[e].parent == el[best].parent and (el[e].tag, el[e].name) == (el[best].tag, el[best].name) and points[e] >= SIBLING * points[best] and (el[e].name or is_prose(page, e))
     }
     out = []
     for i, line in enumerate(page.lines):
@@ -89,6 +96,13 @@ def main_lines(page: Page) -> list[int]:
     return out
 
 
+def is_prose(page: Page, e: int) -> bool:
+    """Are the lines of a container long on average? Asked of siblings without a class of their own, to
+    tell the article's next part from a footer."""
+    a = areas(page).get(e)
+    return a is not None and sum(width(page.lines[i].text) for i in a.lines) >= PROSE * len(a.lines)
+
+
 def keeps(page: Page, line: Line) -> bool:
     """Is a line of the body a heading, a list entry or a sentence?"""
     return is_heading(page, line) or page.elements[line.block].tag == "li" or bool(STOP.search(line.text))
@@ -97,36 +111,17 @@ def keeps(page: Page, line: Line) -> bool:
 def find_main_lines(fetches: DataFrame, common_words: DataFrame, id_col: str = "fetch_id") -> DataFrame:
     """(id_col, line_no): the lines of text_content that belong to the page's own article.
 
-    fetches needs id_col (unique), url, parsed_data (title, html, text_content). Pages whose text is
-    stuffed, filler, unfilled or a whole-page notice have no such lines, nor have pages with null or
-    empty html or text. Line numbers count from 0. One pass parses each page once for its lines, its
-    spam features and its template lines; that is checkpointed, and only hashes and ids are shuffled.
+    fetches needs id_col (unique), url, content, parsed_data (title, html, text_content). Pages whose
+    text is stuffed, filler, unfilled or a whole-page notice have no such lines, nor have pages with
+    null or empty html or text. Line numbers count from 0.
     """
-    lists = spam.word_lists(word_rows(common_words))
-    pages = fetches.where("parsed_data.text_content IS NOT NULL AND parsed_data.html IS NOT NULL").select(
-        F.col(id_col).alias("id"), F.coalesce("url", F.lit("")).alias("url"), F.col("parsed_data.html").alias("html"), F.col("parsed_data.text_content").alias("text"))
-    schema = T.StructType([
-        T.StructField("id", fetches.schema[id_col].dataType), T.StructField("url", T.StringType()), T.StructField("text_flag", T.BooleanType()),
-        T.StructField("lines", T._parse_datatype_string(templates.LINES)), T.StructField("article", T.LongType()), T.StructField("body", T.ArrayType(T.IntegerType())), *spam.FEATURES,
-    ])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flags, lines, articles, body, measured = [], [], [], [], []
-            for i in range(b.num_rows):
-                url, source, text = (b.column(k)[i].as_py() or "" for k in (1, 2, 3))
-                page = mend_lines(read_page(source, text))
-                _, flag, found, article = templates.read_record(url, "", page, lists[""])
-                flags.append(flag)
-                lines.append([{"template": t, "named": n, "own": o} for t, n, o in found])
-                articles.append(article)
-                body.append(main_lines(page))
-                measured.append(spam.features(page, source, lists) or (None,) * len(spam.KINDS))
-            columns = zip(*measured) if measured else [()] * len(spam.KINDS)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(flags, pa.bool_()), pa.array(lines, templates.LINES_ARROW), pa.array(articles, pa.int64()), pa.array(body, pa.list_(pa.int32())),
-                 *(pa.array(c, k) for c, k in zip(columns, spam.KINDS))], schema.names)
-
-    read = cut(spread(pages).mapInArrow(run, schema))
-    kept = spam.calibrated(read).where(~spam.stuffed() & ~F.col("text_flag")).join(templates.template_pages(read), "id", "left_anti")
-    return kept.select(F.col("id").alias(id_col), F.explode("body").alias("line_no"))
+    from tidewrack.llm.pages import BODY, SPAM, TEMPLATE, read_pages  # which uses main_lines()
+
+    return main_lines_of(store(read_pages(fetches, common_words, id_col, BODY | TEMPLATE | SPAM)), id_col)
+
+
+def main_lines_of(pages: DataFrame, id_col: str) -> DataFrame:
+    """find_main_lines() on stored pages of read_pages()."""
+    own = spam.calibrated(pages.where("has_text AND has_html")).where(~spam.stuffed() & ~F.col("text_flag")).select("id", "body")
+    barred = templates.template_pages(pages).unionAll(templates.unfilled_slots(pages))
+    return own.join(barred, "id", "left_anti").select(F.col("id").alias(id_col), F.explode("body").alias("line_no"))

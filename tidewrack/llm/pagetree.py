@@ -42,6 +42,7 @@ class Page:
     elements: list[Element] = field(default_factory=list)
     lines: list[Line] = field(default_factory=list)
     aligned: bool = True
+    spaces: dict[int, Area] | None = None
 
 
 def _chunks(source: str, elements: list[Element]) -> list[tuple[str, int, bool]]:
@@ -193,7 +194,13 @@ def is_heading(page: Page, line: Line, level: str = "") -> bool:
 
 
 def areas(page: Page) -> dict[int, Area]:
-    """The containers that have lines of their own."""
+    """The containers that have lines of their own; made once a page."""
+    if page.spaces is None:
+        page.spaces = _areas(page)
+    return page.spaces
+
+
+def _areas(page: Page) -> dict[int, Area]:
     held: dict[int, int] = {}
     for line in page.lines:
         if line.block >= 0:

@@ -3,25 +3,23 @@
 The main area of a page is measured: share of its most frequent content word, of its most frequent
 pair of content words and of all repeated pairs, duplicate lines, link-text ratio, separators per
 word, words per full stop, and the share of function words. Pairs are of content words next to each
-other when function words are left out. What is few for function words and much for one content word
-depends on the language, so these bounds are multiples of the medians of all pages of that language;
-the other bounds hold for all languages.
+other when function words are left out. What is little or much depends on the language, so each bound
+is a multiple of a quantile over all pages of that language; those of rare languages are taken over all
+pages.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewrack.llm.pagetree import Page, main_area, mend_lines, read_page
-from tidewrack.llm.signs import word_rows
-from tidewrack.session import cut, spread
+from tidewrack.llm.pagetree import Page, main_area
+from tidewrack.session import store
 
 WORD = re.compile(r"[^\W\d_]+")
 SEPARATOR = re.compile(r"[|,;/#•·、，；]")
@@ -31,9 +29,6 @@ LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2})", re.I)
 IDEOGRAPH = re.compile("[぀-鿿]")
 #: Frequent function characters of Chinese and Japanese, which have no word borders.
 PARTICLES = re.compile("[的了在和是不把被后前里上下边は が を の に で と も た]")
-#: Least and greatest bound on the share of one word in the content words.
-MUCH = 0.15, 0.25
-
 FEATURES = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType()), T.StructField("function", T.DoubleType()),
     T.StructField("top_word", T.DoubleType()), T.StructField("top_pair", T.DoubleType()), T.StructField("top_phrase", T.DoubleType()), T.StructField("repeated", T.DoubleType()), T.StructField("separators", T.DoubleType()),
@@ -87,56 +82,54 @@ def word_lists(rows: list) -> dict[str, frozenset[str]]:
     return out | {"": frozenset(w for _, w in rows)}
 
 
-def page_features(pages: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(id, FEATURES) of pages(id, html, text), without a shuffle; features are null without text."""
-    common = word_lists(word_rows(common_words))
-    schema = T.StructType([T.StructField("id", pages.schema["id"].dataType), *FEATURES])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for i in range(b.num_rows):
-                source, text = b.column(1)[i].as_py() or "", b.column(2)[i].as_py() or ""
-                out.append(features(mend_lines(read_page(source, text)), source, common) or (None,) * len(KINDS))
-            columns = zip(*out) if out else [()] * len(KINDS)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, KINDS))], schema.names)
+#: What a page's features are held against, by language: (quantile of all its pages, times, least, most).
+BOUNDS = {
+    "few": ("function", 0.5, 0.45, 0.0, 0.5), "much_word": ("top_word", 0.5, 6.0, 0.15, 0.25), "much_pair": ("top_pair", 0.9, 2.2, 0.11, 0.13), "much_phrase": ("top_phrase", 0.9, 2.4, 0.19, 0.3),
+    "much_repeated": ("repeated", 0.9, 1.1, 0.35, 0.65), "most_repeated": ("repeated", 0.9, 1.5, 0.75, 0.9), "much_separated": ("separators", 0.9, 4.0, 0.2, 0.5), "long_stop": ("per_stop", 0.9, 1.6, 45.0, 60.0),
+    "much_linked": ("linked", 0.9, 2.0, 0.6, 0.8), "much_doubled": ("double_lines", 0.95, 4.0, 0.25, 0.4),
+}
+#: Languages with fewer pages than this are held against the pages of all languages.
+KNOWN = 50
 
-    return spread(pages.select("id", "html", "text")).mapInArrow(run, schema)
 
-
-def calibrated(measured: DataFrame, fraction: float = 0.45, times: float = 6.0) -> DataFrame:
-    """measured with `few` and `much`, the bounds on the shares of function words and of the most
-    frequent content word: multiples of the medians of all pages of the language that have sentences,
-    `much` between MUCH. There are at most as many languages as two letters can name, so the medians
-    are broadcast."""
-    medians = (
-        measured.where("words >= 30 AND per_stop < 60 AND function > 0").groupBy("lang")
-        .agg((F.percentile_approx("function", 0.5, 1000) * fraction).alias("few"), (F.expr("percentile_approx(IF(words >= 60, top_word, NULL), 0.5, 1000)") * times).alias("much"))
-    )
-    much = F.least(F.greatest(F.coalesce("much", F.lit(MUCH[1])), F.lit(MUCH[0])), F.lit(MUCH[1]))
-    return measured.join(F.broadcast(medians), "lang", "left").withColumns({"few": F.coalesce("few", F.lit(0.05)), "much": much})
+def calibrated(measured: DataFrame) -> DataFrame:
+    """measured with the columns of BOUNDS: multiples of quantiles of all pages of the language that
+    have sentences, each within fixed ends. There are at most as many languages as two letters can
+    name, so their bounds are broadcast."""
+    text = "words >= 60 AND per_stop < 60 AND function > 0"
+    aggs = [F.expr(f"percentile_approx(IF({text}, {f}, NULL), {q}, 1000)").alias(k) for k, (f, q, *_) in BOUNDS.items()]
+    whole = measured.agg(*(a.alias(f"_{k}") for a, k in zip(aggs, BOUNDS)), F.lit(1).alias("_one"))
+    own = measured.groupBy("lang").agg(F.count_if(F.expr(text)).alias("_n"), *aggs, F.lit(1).alias("_one")).join(F.broadcast(whole), "_one")
+    value = lambda k: F.when(F.col("_n") >= KNOWN, F.col(k)).otherwise(F.col(f"_{k}"))
+    bound = lambda k, times, least, most: F.least(F.greatest(F.coalesce(value(k) * times, F.lit(least)), F.lit(least)), F.lit(most)).alias(k)
+    bounds = own.select("lang", *(bound(k, *rest) for k, (_, _, *rest) in BOUNDS.items()))
+    return measured.join(F.broadcast(bounds), "lang")
 
 
 def stuffed() -> Column:
     """Is a page, by its calibrated features, made of keywords, links or tags?"""
     c = F.col
-    keywords = (c("words") >= 30) & (c("per_stop") > 45) & (c("function") < c("few")) & ((c("repeated") > 0.35) | (c("separators") > 0.2) | (c("double_lines") > 0.3))
-    phrases = (c("words") >= 60) & ((c("top_pair") > 0.11) | ((c("top_pair") > 0.07) & (c("repeated") > 0.75)))
-    phrases |= (c("words") >= 60) & (c("top_word") > c("much"))
-    phrases |= (c("words") >= 200) & (c("top_phrase") > 0.19) & ~c("lang").isin("zh", "ja")
-    links = (c("links") >= 10) & (c("linked") > 0.7) & (c("function") < 0.1)
+    few = c("function") < c("few")
+    keywords = (c("words") >= 30) & (c("per_stop") > c("long_stop")) & few & ((c("repeated") > c("much_repeated")) | (c("separators") > c("much_separated")) | (c("double_lines") > c("much_doubled")))
+    phrases = (c("words") >= 60) & ((c("top_pair") > c("much_pair")) | ((c("top_pair") > 0.65 * c("much_pair")) & (c("repeated") > c("most_repeated"))) | (c("top_word") > c("much_word")))
+    phrases |= (c("words") >= 200) & (c("top_phrase") > c("much_phrase"))
+    links = (c("links") >= 10) & (c("linked") > c("much_linked")) & few
     return F.coalesce(keywords | phrases | links, F.lit(False))
 
 
 def find_stuffed(fetches: DataFrame, common_words: DataFrame, id_col: str = "fetch_id") -> DataFrame:
     """(id_col): fetches whose main text is for the most part repeated keywords, links or tags.
 
-    fetches needs id_col and parsed_data (html, text_content). Null or empty text is no case; repeated
-    rows give repeated cases; other columns aren't read. common_words(lang, word) is a small table of
-    fixed size. The features, of a few bytes a page, are checkpointed; nothing else is shuffled but
-    the partial medians of the languages.
+    fetches needs id_col, url, content and parsed_data (title, html, text_content). Null or empty text is
+    no case; repeated rows give repeated cases; other columns aren't read. common_words(lang, word) is a
+    small table of fixed size. The features, of a few bytes a page, are stored; nothing else is shuffled
+    but the partial quantiles of the languages.
     """
-    pages = fetches.where("parsed_data.text_content IS NOT NULL").select(
-        F.col(id_col).alias("id"), F.col("parsed_data.html").alias("html"), F.col("parsed_data.text_content").alias("text"))
-    measured = cut(page_features(pages, common_words))
-    return calibrated(measured).where(stuffed()).select(F.col("id").alias(id_col))
+    from tidewrack.llm.pages import SPAM, read_pages  # which uses features()
+
+    return stuffed_of(store(read_pages(fetches, common_words, id_col, SPAM)), id_col)
+
+
+def stuffed_of(pages: DataFrame, id_col: str) -> DataFrame:
+    """find_stuffed() on stored pages of read_pages()."""
+    return calibrated(pages.where("has_text AND words IS NOT NULL")).where(stuffed()).select(F.col("id").alias(id_col))
