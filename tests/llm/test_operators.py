@@ -94,6 +94,16 @@ def test_nested_layers_and_references():
     assert encoding.mend("<p>caf&#233; &amp; more</p>", True)[0] is False
 
 
+@pytest.mark.parametrize("read", ["cp1252", "cp1251", "latin-1", "mac_roman", "cp437"])
+@pytest.mark.parametrize("text", ["Café résumé naïve über", "La compañía del río midió “cosas”", "Größe und Straße für Käse"])
+def test_any_number_of_layers(text, read):
+    bad = text
+    for _ in range(6):
+        raw = bad.encode()
+        bad = raw.decode("latin-1") if read == "latin-1" else "".join(encoding.IMAGES[read][b] for b in raw)
+        assert encoding.mend(bad) == (True, text, True)
+
+
 @pytest.mark.parametrize(
     "text",
     [None, "", "plain", "Größe, Öffnung, naïve café — “quoted” … 5 °C ½ €4", "NÃO, A PRAÇA SÃO LEÃO", "L’été à l’étage", "żółć ŻÓŁĆ", "Школа у моста", "ШКОЛА У МОСТА СОХРАНИЛА РАСПИСАНИЕ", "图书馆 and 图书馆", "早朝、港",
@@ -189,9 +199,9 @@ def test_keyword_behind_articles_is_stuffed(spark, common):
     assert sorted(r.fetch_id for r in spam.find_stuffed(spark.createDataFrame(rows, FETCH), common).collect()) == [0, 1]
 
 
-@pytest.mark.parametrize("title,want", [("{{ page.title }}", True), ("${post.name} - Site", True), ("<%= item.x %> | Site", True), ("@@a_b@@", True), ("Untitled", True), ("", False), (None, False), ("How {{name}} ended in our titles", False), ("The mill", False), ("Sample page | Site", True)])
+@pytest.mark.parametrize("title,want", [("{{ page.title }}", True), ("${post.name} - Site", True), ("<%= item.x %> | Site", True), ("@@a_b@@", True), ("Untitled", False), ("", False), (None, False), ("How {{name}} ended in our titles", False), ("The mill", False), ("Sample page | Site", False)])
 def test_titles(title, want):
-    assert templates.unfilled_title(title or "", "https://site.example/x") is want
+    assert templates.names_variable(title or "") is want
 
 
 def test_residue(spark, common):
@@ -242,6 +252,63 @@ def test_copies_of_an_article_are_one_page(spark, common):
     assert got == [(i, text.index(x)) for i in range(6) for x in ["The mill", *body]]
 
 
+def told(rng, site, i, head, title):
+    body = " ".join(f"The {rng.choice('mill weir yard kiln'.split())} of the {rng.choice('keeper ferry garden tower'.split())} was near the {rng.choice('bridge lane shore'.split())} number {site}{i}{k}." for k in range(9))
+    h = page(f"<main>\n<h1>{head}</h1>\n<p>{body}</p>\n<p>{body} It was late, and the others knew it.</p>\n</main>")
+    return fetch(0, f"https://{site}.example/x/{i}", h, lines_of(h), title)
+
+
+def test_defaults_and_blanks_in_titles_are_induced(spark, common):
+    rng = random.Random(9)
+    rows = [told(rng, s, i, f"Story {s} number {i}", f"Story {s} number {i} | The {s} Site") for s in "abcd" for i in range(4)]
+    rows += [told(rng, s, 20, f"Tale of {s}", "Neue Seite 1 | The " + s + " Site") for s in "abcd"]  # a default that no list has
+    rows += [told(rng, "a", 30, "Another tale", " | The a Site"), told(rng, "b", 31, "One more", "The b Site"), told(rng, "c", 32, "A tale told once", "Quite another title | The c Site")]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    got = sorted(r.fetch_id for r in templates.find_residue(spark.createDataFrame(rows, FETCH), common).collect())
+    assert got == [16, 17, 18, 19, 20]
+
+
+def test_blank_slots_of_a_text_are_induced(spark, common):
+    greet = lambda name, place: page(f'<main>\n<p class="hi">Hello {name}, welcome to the pages of {place}, where you are glad to be.</p>\n</main>', nav=False)
+    names = "Anna Ben Cora Dan Eve Finn Gus Hal Ida Jon Kim".split()
+    rows = [fetch(i, f"https://a.example/{i}", greet(n, f"{n}town"), lines_of(greet(n, f"{n}town")), f"Page of {n}") for i, n in enumerate(names)]
+    rows.append(fetch(50, "https://a.example/50", greet("", ""), lines_of(greet("", "")), "Page of Zoe"))
+    pages = spark.createDataFrame(rows, FETCH)
+    from tidewrack.llm.pages import TEMPLATE, read_pages
+
+    assert [r.id for r in templates.unfilled_slots(read_pages(pages, common, parts=TEMPLATE)).collect()] == [50]
+    assert 50 in [r.fetch_id for r in templates.find_residue(pages, common).collect()]
+
+
+def test_flat_pages_and_parts_without_a_class():
+    flat = f"<html><body>\n<h1>Head</h1>\n<p>{ARTICLE}</p>\n<p>{ARTICLE} Again, it was so, and so on.</p>\n<p>{ARTICLE} And more, as before.</p>\n</body></html>"
+    p = pagetree.read_page(flat, lines_of(flat))
+    assert len(main_content.main_lines(p)) == 4
+    parts = page("".join(f"<div>\n<p>{ARTICLE} Part {i}, and so on.</p>\n</div>\n" for i in range(3)) + "<div>\n<p>Prices include tax.</p>\n<p>Errors excepted.</p>\n</div>")
+    p = pagetree.read_page(parts, lines_of(parts))
+    assert [p.lines[i].text for i in main_content.main_lines(p)] == [f"{ARTICLE} Part {i}, and so on." for i in range(3)]
+
+
+def test_bounds_follow_the_language(spark):
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spam.FEATURES)
+    row = lambda i, lang, pair: (i, True, lang, 300, 0.35, 0.03, pair, 0.05, 0.2, 0.04, 20.0, 0.0, 0.0, 0)
+    rows = [row(i, "pl", 0.06 + (i % 3) / 1000) for i in range(60)] + [row(100 + i, "en", 0.02) for i in range(60)] + [row(200, "pl", 0.12), row(201, "en", 0.12), row(202, "xx", 0.14), row(203, "xx", 0.02)]
+    df = spark.createDataFrame(rows, "id long, has_text boolean, " + kinds)
+    assert sorted(r.fetch_id for r in spam.stuffed_of(df, "fetch_id").collect()) == [201, 202]
+
+
+def test_one_pass_serves_all_operators(spark, common, sf):
+    from tidewrack.llm.pages import read_pages
+    from tidewrack.session import store, table
+
+    fetches, words = table(spark, sf, "fetches"), table(spark, sf, "common_words")
+    pages = store(read_pages(fetches, words))
+    ids = lambda d: sorted(tuple(r) for r in d.collect())
+    assert ids(main_content.main_lines_of(pages, "fetch_id")) == ids(main_content.find_main_lines(fetches, words))
+    assert ids(templates.residue_of(pages, "fetch_id")) == ids(templates.find_residue(fetches, words))
+    assert ids(spam.stuffed_of(pages, "fetch_id")) == ids(spam.find_stuffed(fetches, words))
+
+
 # --- p8
 
 
@@ -337,6 +404,54 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert got == {(i, i) for i in range(9)}
 
 
+def test_proximity_like_brute_force(spark):
+    rng = random.Random(11)
+    v = [f"w{k}" for k in range(30)]
+    items = [(i, " ".join(rng.sample(v, rng.choice([4, 10, 13])))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        w = leakage.words(rng.choice(items)[1])
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(w))
+            w = w[:k] + [rng.choice(v)] + w[k:] if rng.random() < 0.5 else w[:k] + w[k + 1 :]
+        docs.append((d, " ".join(rng.choices(v, k=3) + w + rng.choices(v, k=3))))
+
+    def near(text, passage, slop=2, span=10):
+        w, q = leakage.words(text), leakage.words(passage)
+        at = {}
+        for k, x in enumerate(w):
+            at.setdefault(x, []).append(k)
+        n = min(span, len(q))
+        for s in range(len(q) - n + 1):
+            own = q[s : s + n]
+            o = min(range(n), key=lambda j: count.get(own[j], 0))
+            if any(all(any(abs(p - (a - o + j)) <= slop for p in at.get(own[j], [])) for j in range(n)) for a in at.get(own[o], [])):
+                return True
+        return False
+
+    count = {}
+    for _, t in docs:
+        for x in leakage.words(t):
+            count[x] = count.get(x, 0) + 1
+    want = {(d, i) for d, t in docs for i, p in items if near(t, p)}
+    dd = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)  # one block, as in the brute force
+    ii = spark.createDataFrame(items, "item_id long, passage string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(dd, ii, slop=2).collect()}
+    assert got == want and len(want) > len({(r.doc_id, r.item_id) for r in leakage.find_leaks(dd, ii).collect()})
+
+
+def test_an_index_serves_any_items(spark, monkeypatch):
+    from tidewrack.session import store
+
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 7)
+    docs = spark.createDataFrame([(i, f"alpha{i} beta gamma{i} delta") for i in range(20)] + [(90, None), (91, "")], "doc_id long, text string")
+    index = store(leakage.index_documents(docs))
+    assert index.count() > 1 and sorted(x for r in index.collect() for x in r.docs if x < 90) == list(range(20))
+    for k in (3, 8):
+        items = spark.createDataFrame([(k, f"beta gamma{k}")], "item_id int, passage string")
+        assert [tuple(r) for r in leakage.search_index(index, items).collect()] == [(k, k, 1)]
+
+
 # --- p10
 
 PROSE = "The keepers of the mill walked to the station in the morning. They were late, and the bakery was closed.\nIt was a cold day on the river."
@@ -365,6 +480,22 @@ def test_prose(name):
     assert quality.shares(IS[name], lists)[2] >= quality.PROSE
 
 
+def test_rules_reproduce_the_found_documents(spark, sf):
+    from tidewrack.llm.queries import QUERIES
+
+    stats = QUERIES["p10_stats"](spark, sf)
+    assert sorted(r.doc_id for r in stats.where(quality.not_prose()).collect()) == sorted(r.doc_id for r in QUERIES["p10_found"](spark, sf).collect())
+
+
+def test_combined_rules(spark, common):
+    rng = random.Random(4)
+    encoded = "+".join("".join(rng.choice("aAoOeEuyTRkL") for _ in range(rng.choice([1, 1, 5, 9]))) for _ in range(200)) + "=="
+    listed = PROSE + "\n" + "\n".join(["the old mill and"] * 12)  # lines come back beside some prose
+    rows = [(1, PROSE), (2, encoded), (3, listed), (4, "\n\n".join([PROSE] * 3)), (5, PROSE + "\n- kettle\n- weir")]
+    got = sorted(r.doc_id for r in quality.find_not_prose(spark.createDataFrame(rows, "doc_id long, text string"), common).collect())
+    assert got == [2, 3]
+
+
 def test_statistics(spark, common):
     rows = [(1, "the cat the cat\n\nthe cat the cat", 0.0), (2, None, 0.0), (3, "", 0.0), (4, " \n ", 0.0), (1, "x", 0.0), (5, "- a\n" * 50_000, 0.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_words double")
