@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewrack.functions import urls
+from tidewrack.session import store
 
 #: Number ranges that the urls of one source are split into for numbering; one task numbers a range.
 BUCKETS = 256
@@ -53,6 +54,8 @@ def line_occurrences(fetches: DataFrame, id_col: str, url_col: str, text_col: st
     # numbered over all urls, so that this pass reads no texts
     docs = number_documents(fetches.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url")).select("url", urls.site(F.col("url")).alias("source")))
     placed = pages.select("id", "source", "url", hashed.alias("lines")).join(docs, ["source", "url"])
+    # stored, as bitmaps, cardinalities and lookups start from it
+    placed = store(placed.select("id", "doc", "lines"))
     lines = placed.select("id", F.shiftright("doc", 6).alias("word"), F.expr("shiftleft(1L, CAST(pmod(doc, 64) AS INT))").alias("bit"), F.posexplode("lines").alias("line_no", "line")).where("line IS NOT NULL")
     return lines.select("id", "line_no", "line.l1", "line.l2", "word", "bit")
 
