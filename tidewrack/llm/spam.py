@@ -98,9 +98,9 @@ def calibrated(measured: DataFrame) -> DataFrame:
     name, so their bounds are broadcast."""
     text = "words >= 60 AND per_stop < 60 AND function > 0"
     aggs = [F.expr(f"percentile_approx(IF({text}, {f}, NULL), {q}, 1000)").alias(k) for k, (f, q, *_) in BOUNDS.items()]
-    whole = measured.agg(*(a.alias(f"_{k}") for a, k in zip(aggs, BOUNDS)), F.lit(1).alias("_one"))
-    own = measured.groupBy("lang").agg(F.count_if(F.expr(text)).alias("_n"), *aggs, F.lit(1).alias("_one")).join(F.broadcast(whole), "_one")
-    value = lambda k: F.when(F.col("_n") >= KNOWN, F.col(k)).otherwise(F.col(f"_{k}"))
+    whole = measured.agg(F.struct(*aggs)).scalar()
+    own = measured.groupBy("lang").agg(F.count_if(F.expr(text)).alias("_n"), *aggs).withColumn("_all", whole)
+    value = lambda k: F.when(F.col("_n") >= KNOWN, F.col(k)).otherwise(F.col(f"_all.{k}"))
     bound = lambda k, times, least, most: F.least(F.greatest(F.coalesce(value(k) * times, F.lit(least)), F.lit(least)), F.lit(most)).alias(k)
     bounds = own.select("lang", *(bound(k, *rest) for k, (_, _, *rest) in BOUNDS.items()))
     return measured.join(F.broadcast(bounds), "lang")
