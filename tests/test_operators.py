@@ -140,6 +140,16 @@ def test_flatten_values_and_empty(spark):
     assert nested.flatten_records(df.limit(0), "dom_id", "dom_tree").count() == 0
 
 
+def test_deep_records_are_checked():
+    for n in (50_000,):
+        good = b'{"children":[' * n + b"{}" + b"]}" * n
+        assert nested.is_json(good)
+        for bad in (good.replace(b"{}", b"{,}"), good[:-1], good.replace(b"{}", b'{"a":1,,}'), good + b"x", good.replace(b"{}", b"[1 2]"), good.replace(b"{}", b"{1:2}"), good.replace(b"{}", b'"\x01"')):
+            assert not nested.is_json(bad)
+    for text in (b'{"a":[1,2.5e-3,{"b":null}],"c":"x\\u00e9\\n"}', b"[]", b'"s"', b" 1 ", b"{", b"[1,]", b'{"a"}', b'{"a":1,}', b"01", b"'x'", b"nul", b"", b"[}", b'"\\x"'):
+        assert nested.is_deep_json(text) == nested.is_json(text)
+
+
 # --- dedup
 
 
@@ -155,6 +165,20 @@ def test_bloom_has_no_false_negatives(spark):
     assert len(r) == 400 and all(x.maybe for x in r if x.id < 300) and sum(x.maybe for x in r if x.id >= 300) < 30
 
 
+def test_bloom_positions_are_the_digest_modulo_the_size(spark):
+    import hashlib
+
+    words = ["a", "é", "", "https://x.example/1?q=2"]
+    d = spark.createDataFrame([(w,) for w in words], "s string")
+    for capacity in (1000, 999_983, 100_000_007):
+        got = {r.s: r.p for r in d.select("s", dedup.bloom_positions(F.col("s"), capacity).alias("p")).collect()}
+        assert got == {w: [int(hashlib.md5(f"{w}{i}".encode()).hexdigest(), 16) % (capacity * 10) for i in range(3)] for w in words}
+    a = spark.range(300).select(F.col("id").cast("string").alias("s"))
+    for kw in ({"simple": True}, {"n_shards": dedup.shards(300, 40)}):
+        r = dedup.bloom_contains(spark.range(600).withColumn("s", F.col("id").cast("string")), dedup.bloom_filter(a, F.col("s"), 100, **kw), "id", F.col("s"), 100, **kw).collect()
+        assert len(r) == 600 and all(x.maybe for x in r if x.id < 300) and not all(x.maybe for x in r)
+
+
 def test_keep_newest(spark):
     df = spark.range(20)
     assert dedup.keep_newest(df, ["id"], 5, 20) is df
@@ -200,7 +224,7 @@ def test_domain_scores_equal_the_fold(spark):
     for r in rows:
         d = r[1].split("/")[2]
         want[d] = want.get(d, 0) * 0.9 + r[5] / 1000 * (2 if "seed" in r[2] else 1)
-    got = {r.domain: r.score for r in links.domain_scores(df, ["seed.example"], [], ["link_id"], F.floor(F.col("link_id") / 7)).collect()}
+    got = {r.domain: r.score for r in links.domain_scores(df, ["seed.example"], [], ["link_id"], rows=7).collect()}
     assert got == pytest.approx(want)
 
 
@@ -268,24 +292,26 @@ def test_adaptive_delay_both_ways(spark):
         want[d] = next_delay(want.get(d, 1.0), s or 0, t or 0.0, 1.0)
     e = spark.createDataFrame(rows, EVENTS)
     assert {r.domain: r.crawl_delay for r in policy.adaptive_delay(e, ["event_id"]).collect()} == want
-    closed = {r.domain: r.crawl_delay for r in policy.adaptive_delay_closed(e, ["event_id"], F.floor(F.col("event_id") / 10)).collect()}
+    closed = {r.domain: r.crawl_delay for r in policy.adaptive_delay_closed(e, ["event_id"], rows=10).collect()}
     assert closed == pytest.approx(want)
 
 
-def test_breaker(spark):
+@pytest.mark.parametrize("rows_a_run,seed", [(None, 6), (9, 6), (23, 7), (40, 8), (5, 9)])
+def test_breaker(spark, rows_a_run, seed):
     from tidewrack.operators.policy import Breaker
 
-    rng = random.Random(6)
-    rows, t = [], 0.0
+    rng = random.Random(seed)
+    rows, t = [(-1, "b", None, False), (-2, "a", None, True)], 0.0
     for i in range(200):
-        t += rng.choice([1, 5, 70])
+        t += rng.choice([1, 5, 70]) if i % 50 < 30 else 1
         rows.append((i, rng.choice("ab"), t, rng.random() < 0.3))
+    rows.sort()
     want, refused = {}, {}
     for _, d, at, ok in rows:
         b = want.setdefault(d, Breaker(PolicyConfig()))
-        refused[d] = refused.get(d, 0) + (not b.event(at, ok))
+        refused[d] = refused.get(d, 0) + (not b.event(float("nan") if at is None else at, ok))
     e = spark.createDataFrame(rows, "event_id long, domain string, t double, ok boolean")
-    got = {r.domain: (r.state, r.failures, r.refused) for r in policy.breaker_states(e, ["event_id"], "t", "ok").collect()}
+    got = {r.domain: (r.state, r.failures, r.refused) for r in policy.breaker_states(e, ["event_id"], "t", "ok", rows=rows_a_run).collect()}
     assert got == {d: (b.state, b.failures, refused[d]) for d, b in want.items()}
 
 
@@ -305,7 +331,7 @@ def test_robots(spark):
 def test_politeness(spark):
     arrivals = [("a", 0, 0.0), ("a", 1, 0.1), ("a", 2, 5.0), ("a", 3, 5.2), ("b", 4, 9.0)]
     d = spark.createDataFrame(arrivals, "domain string, i long, t double")
-    got = {r.i: r.start for r in policy.politeness_schedule(d, F.col("t"), F.lit(1.0), ["i"], F.floor(F.col("i") / 2)).collect()}
+    got = {r.i: r.start for r in policy.politeness_schedule(d, F.col("t"), F.lit(1.0), ["i"], rows=2).collect()}
     assert got == pytest.approx({0: 0, 1: 1.0, 2: 5.0, 3: 6.0, 4: 9.0})
 
 
@@ -316,12 +342,12 @@ def test_running_values_over_buckets(spark):
     rng = random.Random(7)
     rows = [(i, rng.random() < 0.6, round(rng.random(), 6) if rng.random() < 0.9 else None) for i in range(300)]
     e = spark.createDataFrame(rows, "event_id long, ok boolean, response_time double")
-    got = {r.event_id: r.success_rate for r in metrics.running_success_rate(e, ["event_id"], F.floor(F.col("event_id") / 11)).collect()}
+    got = {r.event_id: r.success_rate for r in metrics.running_success_rate(e, ["event_id"], 11).collect()}
     n = 0
     for i, (k, ok, _) in enumerate(rows):
         n += ok
         assert got[k] == pytest.approx(n / (i + 1) * 100, abs=1e-6)
-    avg = {r.event_id: r.moving_avg for r in metrics.moving_average(e, ["event_id"], F.floor(F.col("event_id") / 11), 20).collect()}
+    avg = {r.event_id: r.moving_avg for r in metrics.moving_average(e, ["event_id"], 20, 11).collect()}
     kept = [(k, t) for k, _, t in rows if t is not None]
     for i, (k, _) in enumerate(kept):
         w = [t for _, t in kept[max(0, i - 19) : i + 1]]

@@ -42,23 +42,50 @@ def dedup_stats(df: DataFrame, canonical: Column, content_key: Column) -> DataFr
     })
 
 
-def bloom_positions(item: Column, capacity: int, bits_per_item: int = 10, hashes: int = 3) -> Column:
-    """Bit positions of an item: md5 of the item and a seed, the last 60 bits of it modulo the size."""
+def _modulo(hex_digest: Column, m: int) -> Column:
+    """A 128-bit number in hexadecimal modulo m (below 2**31), exactly: its parts are folded in, from the
+    front, 28 bits at a time."""
+    number = F.lit(0).cast("bigint")
+    for at in range(1, 33, 7):
+        part = F.substring(hex_digest, at, 7)
+        bits = 4 * min(7, 33 - at)
+        number = F.pmod(F.pmod(number * F.lit(2**bits % m), F.lit(m)) + F.conv(part, 16, 10).cast("bigint"), F.lit(m))
+    return number
+
+
+def bloom_positions(item: Column, capacity: int, bits_per_item: int = 10, hashes: int = 3, simple: bool = False) -> Column:
+    """Bit positions of an item: md5 of the item and a seed, as a number modulo the size; of the simple
+    filter a 64-bit hash in place of md5. A filter has
+    less than 2**31 bits; more items go into filters of their own (bloom_filter's shards)."""
     m = capacity * bits_per_item
-    return F.array(*(F.pmod(F.conv(F.substring(F.md5(F.concat(item, F.lit(str(s)))), 18, 15), 16, 10).cast("bigint"), F.lit(m)) for s in range(hashes)))
+    if m >= 2**31:
+        raise ValueError("a filter of more than 2**31 bits: use shards")
+    if simple:
+        return F.array(*(F.pmod(F.xxhash64(F.concat(item, F.lit(str(s)))), F.lit(m)) for s in range(hashes)))
+    return F.array(*(_modulo(F.md5(F.concat(item, F.lit(str(s)))), m) for s in range(hashes)))
 
 
-def bloom_filter(df: DataFrame, item: Column, capacity: int, **kw: int) -> DataFrame:
-    """(word, bits): the filter as a bitset of 64-bit words, united by map-side OR."""
-    p = df.select(F.explode(bloom_positions(item, capacity, **kw)).alias("p"))
-    return p.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(p, 64) AS INT))")).alias("bits"))
+def shards(rows: int, capacity: int) -> int:
+    """Filters that so many items need."""
+    return max(1, -(-rows // capacity))
 
 
-def bloom_contains(df: DataFrame, bloom: DataFrame, id_col: str, item: Column, capacity: int, **kw: int) -> DataFrame:
+def _shard(item: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(item), F.lit(n)).cast("int") if n > 1 else F.lit(0)
+
+
+def bloom_filter(df: DataFrame, item: Column, capacity: int, n_shards: int = 1, **kw: int) -> DataFrame:
+    """(shard, word, bits): the filter as a bitset of 64-bit words, united by map-side OR. Items are dealt
+    out to n_shards filters of `capacity` each by their hash, so the filter grows with what it holds."""
+    p = df.select(_shard(item, n_shards).alias("shard"), F.explode(bloom_positions(item, capacity, **kw)).alias("p"))
+    return p.groupBy("shard", F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(p, 64) AS INT))")).alias("bits"))
+
+
+def bloom_contains(df: DataFrame, bloom: DataFrame, id_col: str, item: Column, capacity: int, n_shards: int = 1, **kw: int) -> DataFrame:
     """(id_col, maybe): may the filter hold the item? No false negatives. id_col is unique."""
-    p = df.select(id_col, F.explode(bloom_positions(item, capacity, **kw)).alias("p")).withColumn("word", F.shiftright("p", 6))
+    p = df.select(id_col, _shard(item, n_shards).alias("shard"), F.explode(bloom_positions(item, capacity, **kw)).alias("p")).withColumn("word", F.shiftright("p", 6))
     hit = F.coalesce(F.expr("(bits & shiftleft(1L, CAST(pmod(p, 64) AS INT))) <> 0"), F.lit(False))
-    return p.join(bloom, "word", "left").groupBy(id_col).agg(F.bool_and(hit).alias("maybe"))
+    return p.join(bloom, ["shard", "word"], "left").groupBy(id_col).agg(F.bool_and(hit).alias("maybe"))
 
 
 def keep_newest(seen: DataFrame, order: list[str], keep: int, limit: int) -> DataFrame:

@@ -10,9 +10,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewrack.config import GraphConfig, Mode
 from tidewrack.functions import urls
+from tidewrack.operators.ordered import runs
 
 # Fixed values of the priority rules.
 HIGH_EXTENSIONS = ["html", "htm", "php", "asp", "aspx", "jsp", ""]
@@ -104,22 +106,19 @@ def domain_link_counts(links: DataFrame) -> DataFrame:
     return pairs.groupBy("domain").agg(F.count(F.lit(1)).alias("n_links"))
 
 
-def domain_scores(links: DataFrame, seeds: list[str], important: list[str], order: list[str], bucket: Column) -> DataFrame:
+def domain_scores(links: DataFrame, seeds: list[str], important: list[str], order: list[str], rows: int | None = None) -> DataFrame:
     """Score of each domain after all its links in order: s = 0.9 s + priority / 1000 x weight, with
     weight 2 for links from seeds, 1.5 from important domains, else 1.
 
-    The update is affine, so runs of links compose: within each bucket (an increasing function of the
-    order) the links are folded to (n, sum), and the buckets, few per domain, are folded in turn. No
-    task holds a domain's links.
-    """
+    The update is affine, so runs of links compose: a run of bounded size gives (n, sum), and the runs of
+    a domain, few, are folded in turn. No task holds a domain's links."""
     src = urls.domain("source_url")
     weight = F.when(src.isin(seeds), 2.0).when(src.isin(important), 1.5).otherwise(1.0)
-    rows = links.where("url IS NOT NULL AND priority IS NOT NULL").select(
-        urls.domain("url").alias("domain"), bucket.alias("bucket"), F.struct(*order).alias("at"), (F.col("priority") / 1000 * weight).alias("gain"))
-    part = rows.groupBy("domain", "bucket").agg(F.array_sort(F.collect_list(F.struct("at", "gain"))).alias("runs"))
-    step = F.aggregate("runs", F.lit(0.0), lambda s, r: s * 0.9 + r["gain"])
-    part = part.select("domain", "bucket", F.size("runs").alias("n"), step.alias("gain"))
-    whole = part.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "gain"))).alias("runs"), F.sum("n").alias("n_links"))
+    gains = links.where("url IS NOT NULL AND priority IS NOT NULL").select(urls.domain("url").alias("domain"), *order, (F.col("priority") / 1000 * weight).alias("gain"))
+    r = runs(gains, order, ["domain"], rows)
+    behind = F.row_number().over(Window.partitionBy("domain", "_b").orderBy(*(F.col(c).desc() for c in order))) - 1
+    part = r.withColumn("k", behind).groupBy("domain", "_b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("gain") * F.pow(F.lit(0.9), "k")).alias("gain"))
+    whole = part.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("_b", "n", "gain"))).alias("runs"), F.sum("n").alias("n_links"))
     return whole.select("domain", "n_links", F.aggregate("runs", F.lit(0.0), lambda s, r: s * F.pow(F.lit(0.9), r["n"]) + r["gain"]).alias("score"))
 
 
@@ -136,8 +135,25 @@ def domain_cap(links: DataFrame, seeds: list[str], order: list[str], max_domains
     return spark.createDataFrame([(s, True) for s in seeds], "domain string, is_seed boolean").unionByName(others)
 
 
-def graph_statistics(links: DataFrame, scores: DataFrame, n_seeds: int) -> DataFrame:
-    """One row: domains discovered, links, best score to 3 places, greatest depth, seeds."""
-    a = links.agg(F.count(F.lit(1)).alias("links"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"), F.lit(n_seeds).alias("seeds"), F.lit(1).alias("_k"))
-    b = scores.agg(F.count(F.lit(1)).alias("domains"), F.round(F.max("score"), 3).alias("best_score"), F.lit(1).alias("_k"))
-    return a.join(b, "_k").drop("_k")
+def graph_statistics(links: DataFrame, scores: DataFrame, seeds: list[str]) -> DataFrame:
+    """(name, subject, value): domains discovered, links queued and greatest depth; each domain's number
+    of links and its score to 3 places; the seeds."""
+    row = lambda d, name, subject, value: d.select(F.lit(name).alias("name"), subject.alias("subject"), value.cast("double").alias("value"))
+    whole, none = links.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("depth"), F.lit(0)).alias("d")), F.lit("")
+    out = row(scores.agg(F.count(F.lit(1)).alias("n")), "discovered_domains", none, F.col("n"))
+    out = out.unionAll(row(whole, "total_queued_links", none, F.col("n"))).unionAll(row(whole, "max_depth_reached", none, F.col("d")))
+    out = out.unionAll(row(scores, "domain_link_counts", F.col("domain"), F.col("n_links"))).unionAll(row(scores, "domain_scores", F.col("domain"), F.round("score", 3)))
+    return out.unionAll(row(links.sparkSession.createDataFrame([(s,) for s in seeds], "s string"), "seed_domains", F.col("s"), F.lit(1)))
+
+
+def top_domains(counts: DataFrame, links: DataFrame, order: list[str], n: int = 3, examples: int = 3) -> DataFrame:
+    """(kind, subject, value): the n domains with most links, and the first links in order as examples."""
+    top = counts.orderBy(F.col("n_links").desc(), "domain").limit(n).select(F.lit("domain").alias("kind"), F.col("domain").alias("subject"), F.col("n_links").cast("long").alias("value"))
+    first = links.where("url IS NOT NULL").orderBy(*order).limit(examples)
+    return top.unionAll(first.select(F.lit("example"), "url", F.col("priority").cast("long")))
+
+
+def by_priority(edges: DataFrame) -> DataFrame:
+    """edges with `rank`: each page's links from the highest priority down, equal ones in page order."""
+    w = Window.partitionBy("source_url").orderBy(F.col("priority").desc(), "position")
+    return edges.withColumn("rank", F.row_number().over(w))

@@ -2,7 +2,7 @@
 
 An event table has url, domain, status_code, response_time, error, content_length and an order
 (ts, event id). Values that need a total order over all events (running rates, moving means) are
-computed in time buckets with the buckets' prefix sums, never in one task.
+computed in runs of bounded size with the runs' prefix sums, never in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewrack.functions import urls
+from tidewrack.operators.ordered import runs
 
 
 def crawl_events(fetches: DataFrame) -> DataFrame:
@@ -24,15 +25,22 @@ def crawl_events(fetches: DataFrame) -> DataFrame:
 
 def domain_metrics(events: DataFrame) -> DataFrame:
     """Per domain: pages, errors (all, and those after the first success, which a crawler would have
-    recorded), success rate in percent, mean response time of pages, last page, characters."""
-    first = events.where("ok").groupBy("domain").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    j = events.join(first, "domain", "left")
-    late = ~F.col("ok") & (F.struct("ts", "event_id") > F.col("first"))
-    return j.groupBy("domain").agg(
-        F.count_if("ok").alias("pages_crawled"), F.count_if(~F.col("ok")).alias("all_errors"), F.count_if(F.coalesce(late, F.lit(False))).alias("errors"),
+    recorded), success rate in percent, mean response time of pages, last page, characters.
+
+    Errors after the first success are all errors less those before it. Of those before it there are
+    few to look at: they are counted from the errors and one small state per domain."""
+    at = F.struct("ts", "event_id")
+    g = events.groupBy("domain").agg(
+        F.count_if("ok").alias("pages_crawled"), F.count_if(~F.col("ok")).alias("all_errors"), F.min(F.when(F.col("ok"), at)).alias("first"), F.min(F.when(~F.col("ok"), at)).alias("first_error"),
         F.round(F.count_if("ok") / F.count(F.lit(1)) * 100, 6).alias("success_rate"), F.round(F.avg(F.when(F.col("ok"), F.col("response_time"))), 6).alias("avg_response_time"),
         F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_crawled"), F.sum(F.when(F.col("ok"), F.col("content_length"))).alias("bytes_downloaded"),
     )
+    # domains that begin with an error; the others need no second look
+    late = g.where("first IS NOT NULL AND first_error < first").select("domain", "first")
+    early = events.where("NOT ok").select("domain", at.alias("at")).join(late, "domain").where("at < first").groupBy("domain").agg(F.count(F.lit(1)).alias("early"))
+    errors = F.when(F.col("first").isNull(), 0).otherwise(F.col("all_errors") - F.coalesce("early", F.lit(0)))
+    return g.join(early, "domain", "left").select(
+        "domain", "pages_crawled", "all_errors", errors.alias("errors"), "success_rate", "avg_response_time", "last_crawled", "bytes_downloaded")
 
 
 def summary(events: DataFrame, duplicates: Column) -> DataFrame:
@@ -53,14 +61,15 @@ def summary(events: DataFrame, duplicates: Column) -> DataFrame:
     )
 
 
-def _indexed(events: DataFrame, order: list[str], bucket: Column, sums: dict[str, Column]) -> DataFrame:
-    """events with a dense index `i` from 1 in order and running sums: windows inside buckets, plus
-    the totals of the buckets before, which are few."""
+def in_order(events: DataFrame, order: list[str], sums: dict[str, Column], keep: list[str] = (), rows: int | None = None) -> DataFrame:
+    """The columns `keep` and `order` with a dense index `i` from 1 in order and running sums: windows
+    inside runs, plus the totals of the runs before, which are few."""
+    narrow = events.select(*dict.fromkeys((*keep, *order)), *(v.alias(f"_v_{k}") for k, v in sums.items()))
+    e = runs(narrow, order, rows=rows)
     w = Window.partitionBy("_b").orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    e = events.withColumn("_b", bucket).withColumns({f"_v_{k}": v for k, v in sums.items()})
-    e = e.withColumns({"_i": F.row_number().over(w).cast("long")} | {f"_s_{k}": F.sum(f"_v_{k}").over(run) for k in sums})
     per = e.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums))
+    e = e.withColumns({"_i": F.row_number().over(w).cast("long")} | {f"_s_{k}": F.sum(f"_v_{k}").over(run) for k in sums})
     before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     off = per.select("_b", zero(F.sum("_n").over(before)).alias("_on"), *(zero(F.sum(f"_t_{k}").over(before)).alias(f"_o_{k}") for k in sums))
@@ -70,20 +79,20 @@ def _indexed(events: DataFrame, order: list[str], bucket: Column, sums: dict[str
     )
 
 
-def running_success_rate(events: DataFrame, order: list[str], bucket: Column) -> DataFrame:
+def running_success_rate(events: DataFrame, order: list[str], rows: int | None = None) -> DataFrame:
     """(event_id, success_rate): percent of successes among all events up to each."""
-    r = _indexed(events, order, bucket, {"good": F.col("ok").cast("long")})
+    r = in_order(events, order, {"good": F.col("ok").cast("long")}, ["event_id"], rows)
     return r.select("event_id", F.round(F.col("good") / F.col("i") * 100, 6).alias("success_rate"))
 
 
-def moving_average(events: DataFrame, order: list[str], bucket: Column, rows: int = 100) -> DataFrame:
-    """(event_id, moving_avg): mean of the last `rows` response times. Prefix sums are exact decimals;
+def moving_average(events: DataFrame, order: list[str], last: int = 100, rows: int | None = None) -> DataFrame:
+    """(event_id, moving_avg): mean of the `last` newest response times. Prefix sums are exact decimals;
     the sum of a window is the difference of two of them, joined by index."""
     e = events.where("response_time IS NOT NULL")
-    r = _indexed(e, order, bucket, {"total": F.col("response_time").cast("decimal(18,9)")}).select("event_id", "i", "total")
-    old = r.select((F.col("i") + rows).alias("i"), F.col("total").alias("old"))
+    r = in_order(e, order, {"total": F.col("response_time").cast("decimal(18,9)")}, ["event_id"], rows).select("event_id", "i", "total")
+    old = r.select((F.col("i") + last).alias("i"), F.col("total").alias("old"))
     d = (F.col("total") - F.coalesce("old", F.lit(0))).cast("double")
-    return r.join(old, "i", "left").select("event_id", F.round(d / F.least("i", F.lit(rows)), 6).alias("moving_avg"))
+    return r.join(old, "i", "left").select("event_id", F.round(d / F.least("i", F.lit(last)), 6).alias("moving_avg"))
 
 
 def last_events(events: DataFrame, order: list[str], n: int = 1000) -> DataFrame:
@@ -122,11 +131,19 @@ def without_domain(errors: DataFrame, domain: str) -> DataFrame:
 
 
 def snapshot(metrics: DataFrame, totals: DataFrame, at: Column) -> DataFrame:
-    """One row (timestamp, snapshot): totals and the 1000 busiest domains as JSON."""
-    top = metrics.orderBy(F.col("pages_crawled").desc(), "domain").limit(1000)
-    m = top.agg(F.array_sort(F.collect_list(F.struct(*metrics.columns))).alias("domain_metrics"), F.lit(1).alias("_k"))
-    t = totals.select(F.struct(*totals.columns).alias("crawl_metrics"), F.lit(1).alias("_k"))
-    return t.join(m, "_k").select(at.alias("timestamp"), F.to_json(F.struct("crawl_metrics", "domain_metrics")).alias("snapshot"))
+    """(timestamp, section, subject, snapshot): the totals and each domain's metrics as JSON, a row each,
+    so that all domains are in it and no row holds more than one."""
+    whole = totals.select(at.alias("timestamp"), F.lit("crawl").alias("section"), F.lit("").alias("subject"), F.to_json(F.struct(*totals.columns)).alias("snapshot"))
+    each = metrics.select(at.alias("timestamp"), F.lit("domain").alias("section"), F.col("domain").alias("subject"), F.to_json(F.struct(*(c for c in metrics.columns if c != "domain"))).alias("snapshot"))
+    return whole.unionByName(each)
+
+
+def snapshot_history(events: DataFrame, order: list[str], every: int, keep: int = 100) -> DataFrame:
+    """(at_event, pages, errors, characters): the last `keep` snapshots of the running totals, one after
+    each `every` events in order. Totals come from the prefix sums of buckets."""
+    r = in_order(events, order, {"pages": F.col("ok").cast("long"), "errors": (~F.col("ok")).cast("long"), "characters": F.coalesce(F.when(F.col("ok"), F.col("content_length")), F.lit(0))})
+    taken = r.where(F.col("i") % every == 0).select(F.col("i").alias("at_event"), "pages", "errors", "characters")
+    return taken.orderBy(F.col("at_event").desc()).limit(keep)
 
 
 def system_metrics(spark) -> DataFrame:

@@ -11,6 +11,7 @@ memory only.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,12 +44,55 @@ def _constant(name: str) -> None:
     raise ValueError(name)
 
 
+JSON_TOKEN = re.compile(rb'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))')
+
+
+def is_deep_json(text: bytes) -> bool:
+    """is_json() for any depth: tokens against what may stand next, with a stack of open brackets."""
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return False
+    at, end, stack, want = 0, len(text.rstrip(b" \t\n\r")), bytearray(), "value"
+    while at < end:
+        m = JSON_TOKEN.match(text, at, end)
+        if m is None:
+            return False
+        at, sign = m.end(), m.group(1)
+        if sign in (b"{", b"["):
+            if want not in ("value", "first"):
+                return False
+            stack += sign
+            want = "first key" if sign == b"{" else "first"
+        elif sign in (b"}", b"]"):
+            if not stack or stack.pop() != (123 if sign == b"}" else 91) or want not in ("more", "first key" if sign == b"}" else "first"):
+                return False
+            want = "more"
+        elif sign == b",":
+            if want != "more" or not stack:
+                return False
+            want = "key" if stack[-1] == 123 else "value"
+        elif sign == b":":
+            if want != "colon":
+                return False
+            want = "value"
+        elif want in ("key", "first key"):
+            if m.group(2) is None:
+                return False
+            want = "colon"
+        elif want in ("value", "first"):
+            want = "more"
+        else:
+            return False
+    return want == "more" and not stack
+
+
 def is_json(text: bytes) -> bool:
-    """RFC 8259 validity. Nesting beyond the parser's limit is left to the bracket check."""
+    """RFC 8259 validity, whatever the depth."""
     try:
         json.loads(text, parse_constant=_constant)
     except RecursionError:
-        return True
+        return is_deep_json(text)
     except ValueError:
         return False
     return True
@@ -90,6 +134,7 @@ class StructuralIndex:
         self.balanced = (ends == 0) & (low >= 0)
         self.width = n + 1
         self.keys = np.sort(level[self.opens] * self.width + self.opens)
+        self.close_keys = np.sort(level[self.closes] * self.width + self.closes)
         # colons and commas by container
         self.colon_in, self.comma_in, self.open_in = (self.around(self.colons), self.around(self.commas), self.around(self.opens, 1))
         self.comma_keys = np.sort(self.comma_in * self.width + self.commas)
@@ -157,8 +202,9 @@ class StructuralIndex:
         """End of the value that starts at a position."""
         b = self.data[at]
         if b in (123, 91):
-            c = self.closes[np.searchsorted(self.closes, at) :]
-            return int(c[np.argmax(self.level[c] < self.level[at])]) + 1
+            # the next closing bracket of the level around it
+            i = np.searchsorted(self.close_keys, (self.level[at] - 1) * self.width + at)
+            return int(self.close_keys[i] % self.width) + 1
         if b == 34:
             return int(self.quotes[np.searchsorted(self.quotes, at) + 1]) + 1
         i = at

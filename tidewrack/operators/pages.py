@@ -64,14 +64,14 @@ class Tree(HTMLParser):
         self.stack[-1][3].append(["c", data])
 
 
-def walk(node: list) -> Iterator[tuple[list, list[str]]]:
-    """All nodes in document order with the tags around them."""
-    todo: list[tuple[list, tuple[str, ...]]] = [(node, ())]
+def walk(node: list) -> Iterator[tuple[list, str]]:
+    """All nodes in document order with the tag around them."""
+    todo: list[tuple[list, str]] = [(node, "")]
     while todo:
         n, up = todo.pop()
         yield n, up
         if n[0] == "e":
-            todo.extend((c, (*up[-30:], n[1])) for c in reversed(n[3]))
+            todo.extend((c, n[1]) for c in reversed(n[3]))
 
 
 def serialize(node: list) -> str:
@@ -116,7 +116,7 @@ def parse(source: str | None, base: str | None) -> tuple | None:
     title, links, css, styles, meta, text = None, [], [], [], {}, []
     for n, up in walk(tree):
         if n[0] == "t":
-            if n[1].strip() and not {"script", "style"} & set(up[-1:]):
+            if n[1].strip() and up not in ("script", "style"):
                 text.append(n[1].strip())
             continue
         if n[0] == "c":

@@ -1,20 +1,18 @@
 """Politeness and resilience: robots rules, delays, retries, circuit breakers.
 
-Folds over a domain's ordered events are compositions of partial folds by time bucket (delays,
-schedules), so a dominating domain's history is never in one task. The circuit breaker's steps don't
-compose; its events are sorted and streamed with a few numbers of state per domain.
+Folds over a domain's ordered events are compositions of partial folds over runs of bounded size
+(delays, schedules, circuit breakers), so a dominating domain's history is never in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewrack.config import PolicyConfig, RetryConfig
+from tidewrack.operators.ordered import runs
 
 
 def classify_error(kind: Column, status: Column, message: Column) -> Column:
@@ -70,33 +68,32 @@ def adaptive_delay(events: DataFrame, order: list[str], cfg: PolicyConfig = Poli
     return g.select(domain, fold.alias("crawl_delay"), F.size("h").alias("requests"))
 
 
-def adaptive_delay_closed(events: DataFrame, order: list[str], bucket: Column, cfg: PolicyConfig = PolicyConfig(), domain: str = "domain") -> DataFrame:
+def adaptive_delay_closed(events: DataFrame, order: list[str], cfg: PolicyConfig = PolicyConfig(), domain: str = "domain", rows: int | None = None) -> DataFrame:
     """adaptive_delay for histories of any length. An event maps x to max(c, a x); such maps compose
-    to such maps, so each bucket (an increasing function of the order) is folded to one (a, c), and
-    the buckets in turn."""
+    to such maps, so each run of bounded size is folded to one (a, c), and a domain's runs in turn."""
     s, t = F.coalesce("status_code", F.lit(0)), F.coalesce("response_time", F.lit(0.0))
     fast = (s != 429) & (s < 500) & (t <= 10) & (s == 200) & (t < 2)
     a = F.when(s == 429, 2.0).when(s >= 500, 1.5).when(t > 10, 1.2).when(fast, 0.95).otherwise(1.0)
     c = F.when(fast, float(cfg.default_delay)).otherwise(0.0)
-    rows = events.select(F.col(domain).alias("domain"), bucket.alias("bucket"), F.struct(*order).alias("at"), a.alias("a"), c.alias("c"))
+    r = runs(events.select(F.col(domain).alias("domain"), *order, a.alias("a"), c.alias("c")), order, ["domain"], rows)
     one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("c"))
     join = lambda x, y: F.struct((x["a"] * y["a"]).alias("a"), F.greatest(y["c"], y["a"] * x["c"]).alias("c"))
-    part = rows.groupBy("domain", "bucket").agg(F.array_sort(F.collect_list(F.struct("at", "a", "c"))).alias("h"))
-    part = part.select("domain", "bucket", F.size("h").alias("n"), F.aggregate("h", one, join).alias("m"))
-    whole = part.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("bucket", "m"))).alias("h"), F.sum("n").alias("requests"))
+    part = r.groupBy("domain", "_b").agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), "a", "c"))).alias("h"))
+    part = part.select("domain", "_b", F.size("h").alias("n"), F.aggregate("h", one, join).alias("m"))
+    whole = part.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("_b", "m"))).alias("h"), F.sum("n").alias("requests"))
     m = F.aggregate(F.transform("h", lambda x: x["m"]), one, join)
     return whole.select("domain", F.greatest(m["c"], m["a"] * cfg.default_delay).alias("crawl_delay"), "requests")
 
 
-def politeness_schedule(requests: DataFrame, arrival: Column, delay: Column, order: list[str], bucket: Column, domain: str = "domain") -> DataFrame:
+def politeness_schedule(requests: DataFrame, arrival: Column, delay: Column, order: list[str], domain: str = "domain", rows: int | None = None) -> DataFrame:
     """requests with start: each at its arrival or `delay` seconds after the one before on its domain.
 
     The recurrence unrolls to i x delay + running max(arrival - i x delay). Index and maximum run
-    within buckets (an increasing function of the order); the buckets before, few per domain, add
-    their count and maximum.
+    within runs of bounded size; the runs before on the domain, few, add their count and maximum.
     """
+    r = runs(requests.withColumns({"_a": arrival, "_d": delay}), order, [domain], rows)
     w = Window.partitionBy(domain, "_b").orderBy(*order)
-    r = requests.withColumns({"_a": arrival, "_d": delay, "_b": bucket}).withColumn("_i", F.row_number().over(w) - 1)
+    r = r.withColumn("_i", F.row_number().over(w) - 1)
     before = Window.partitionBy(domain).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = r.groupBy(domain, "_b").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("_a") - F.col("_i") * F.col("_d")).alias("_m"), F.first("_d").alias("_dd"))
     per = per.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -131,29 +128,91 @@ class Breaker:
         return True
 
 
-def breaker_states(events: DataFrame, order: list[str], seconds: str, ok: str, cfg: PolicyConfig = PolicyConfig(), key: str = "domain") -> DataFrame:
-    """(key, state, failures, refused): the circuit breaker of each key after its events in order.
-    Null times never let an open breaker recover. Events are sorted within partitions by key and
-    order and streamed; a task holds one batch and one breaker."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, b, refused = None, None, 0
-        for pdf in batches:
-            out = []
-            for k, t, good in zip(pdf["k"], pdf["t"], pdf["ok"]):
-                if b is None or k != now:
-                    if b is not None:
-                        out.append((now, b.state, b.failures, refused))
-                    now, b, refused = k, Breaker(cfg), 0
-                refused += not b.event(t, bool(good))
-            yield pd.DataFrame(out, columns=[key, "state", "failures", "refused"])
-        if b is not None:
-            yield pd.DataFrame([(now, b.state, b.failures, refused)], columns=[key, "state", "failures", "refused"])
-
+def _run_summary(times: list[float], oks: list[bool], cfg: PolicyConfig) -> tuple[list[tuple], list[float], list[tuple]]:
+    """What a run of events does to a breaker, whatever state it begins in.
+
+    Results are (state, failures, last, refused, added): failures of an open start are counted from the
+    start's own where added is true. The first list has those of starts closed with 0, 1, ... failures.
+    For an open start with last failure L the first event after L + recovery is the next try: the second
+    list has the times of the events that can be it, as L isn't after the run's first event, and the third
+    the result of a try there. Without a try the breaker stays open."""
+    n, gap, most = len(times), cfg.recovery_seconds, cfg.failure_threshold
+
+    after = [n] * n  # the first event that an event's failure leaves to try
+    k = 0
+    for i in range(n):
+        if times[i] != times[i]:
+            continue  # no time, no recovery
+        k = max(k, i + 1)
+        while k < n and not times[k] - times[i] > gap:
+            k += 1
+        after[i] = k
+    tries: list[tuple | None] = [None] * (n + 1)
+    fails = [i for i in range(n) if not oks[i]]
+    rank = [0] * (n + 1)  # failures before an event
+    for i in range(n):
+        rank[i + 1] = rank[i] + (not oks[i])
+
+    def opened(i: int, failures: int, added: bool) -> tuple:
+        """From an event that failed and opened the breaker."""
+        if after[i] >= n:
+            return ("open", failures, times[i], n - 1 - i, added)
+        s, f, last, refused, add = tries[after[i]]
+        return (s, f + failures if add else f, last, refused + after[i] - 1 - i, added if add else False)
+
+    def closed(i: int, failures: int, last: float) -> tuple:
+        """From before an event, closed with some failures."""
+        j = rank[i] + most - failures - 1
+        if j >= len(fails):
+            return ("closed", failures + len(fails) - rank[i], times[fails[-1]] if len(fails) > rank[i] else last, 0, False)
+        return opened(fails[j], most, False)
+
+    for i in range(n - 1, -1, -1):
+        tries[i] = closed(i + 1, 0, times[i]) if oks[i] else opened(i, 1, True)
+    starts = [closed(0, f, None) for f in range(most)]
+    can = [] if times[0] != times[0] else [i for i in range(n) if i == 0 or not times[i - 1] - times[0] > gap]
+    known = lambda x: (x[0], x[1], None if x[2] is None or x[2] != x[2] else x[2], x[3], x[4])
+    return [known(x) for x in starts], [times[i] for i in can], [known((*tries[i][:3], tries[i][3] + i, tries[i][4])) for i in can]
+
+
+def breaker_states(events: DataFrame, order: list[str], seconds: str, ok: str, cfg: PolicyConfig = PolicyConfig(), key: str = "domain", rows: int | None = None) -> DataFrame:
+    """(key, state, failures, refused): the circuit breaker of each key after its events in order. Null
+    times never let an open breaker recover, and come first.
+
+    A run of bounded size is reduced to what it does from each state that it can begin in (closed with so
+    many failures, or open since the last one), and a key's runs, few, are composed in turn, so no task
+    holds a key's events."""
     kind = events.schema[key].dataType.simpleString()
-    rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(seconds).cast("double").alias("t"), F.col(ok).alias("ok"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
-    rows = rows.repartition("k").sortWithinPartitions("k", *(f"_o{i}" for i in range(len(order))))
-    return rows.select("k", "t", "ok").mapInPandas(run, f"{key} {kind}, state string, failures int, refused int")
+    narrow = events.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(seconds).cast("double").alias("t"), F.col(ok).alias("ok"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
+    names = [f"_o{i}" for i in range(len(order))]
+    r = runs(narrow, names, ["k"], rows)
+    result = "struct<state: string, failures: int, last: double, refused: bigint, added: boolean>"
+
+    def summarise(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(names, na_position="first", kind="stable")
+        starts, at, tries = _run_summary(pdf["t"].tolist(), [bool(x) for x in pdf["ok"]], cfg)
+        fields = ("state", "failures", "last", "refused", "added")
+        return pd.DataFrame({"k": [group[0]], "_b": [group[1]], "n": [len(pdf)], "starts": [[dict(zip(fields, x)) for x in starts]], "at": [at], "tries": [[dict(zip(fields, x)) for x in tries]]})
+
+    per = r.groupBy("k", "_b").applyInPandas(summarise, f"k {kind}, _b int, n bigint, starts array<{result}>, at array<double>, tries array<{result}>")
+    folded = per.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("_b", "n", "starts", "at", "tries"))).alias("runs"))
+    zero = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("bigint").alias("refused"))
+
+    def step(s: Column, run: Column) -> Column:
+        # the first of the events that may be the next try
+        tried = F.array_position(F.transform(run["at"], lambda t: F.coalesce(t - s["last"] > cfg.recovery_seconds, F.lit(False))), True)
+        open_now = s["state"] == "open"
+        found = F.when(~open_now, F.get(run["starts"], s["failures"])).when(tried > 0, F.get(run["tries"], (tried - 1).cast("int")))
+        none = found.isNull()
+        return F.struct(
+            F.when(none, s["state"]).otherwise(found["state"]).alias("state"),
+            F.when(none, s["failures"]).otherwise(found["failures"] + F.when(found["added"], s["failures"]).otherwise(0)).cast("int").alias("failures"),
+            F.when(none, s["last"]).otherwise(F.coalesce(found["last"], s["last"])).alias("last"),
+            (s["refused"] + F.when(none, run["n"]).otherwise(found["refused"])).cast("bigint").alias("refused"),
+        )
+
+    m = F.aggregate("runs", zero, step)
+    return folded.select(F.col("k").alias(key), m["state"].alias("state"), m["failures"].alias("failures"), m["refused"].cast("int").alias("refused"))
 
 
 def robots_policy(robots: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
