@@ -61,7 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _DOMAIN = "coalesce(lower(domain), lower(regexp_extract(url, '^(?:[^:/?#]+:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)))"
 
-_TREE = """
+TREE = """
 WITH RECURSIVE t AS (SELECT dom_id, CAST(dom_tree AS JSON) AS j FROM dom_trees WHERE json_valid(dom_tree)),
 n AS (SELECT dom_id, '0' AS path, '' AS parent, j FROM t WHERE json_type(j) = 'OBJECT'
   UNION ALL SELECT dom_id, path || '.' || (u.i - 1), path, c[u.i]
@@ -72,13 +72,13 @@ b AS (SELECT dom_id, path, json_extract(j, '$.bounding_box') AS o FROM n WHERE j
 """
 
 SQL: dict[str, str] = {
-    "p6_found": f"""{_TREE} SELECT dom_id, 'node' AS record_kind, path AS record_key, parent AS parent_key FROM n
+    "p6_found": f"""{TREE} SELECT dom_id, 'node' AS record_kind, path AS record_key, parent AS parent_key FROM n
         UNION ALL SELECT dom_id, 'box', path || '#box', path FROM b
         UNION ALL SELECT dom_id, 'attribute', path || '@' || k, path FROM a WHERE json_type(o, '$."' || k || '"') <> 'NULL'""",
-    "p6_nodes": f"""{_TREE} SELECT dom_id, path AS node, parent, json_extract_string(j, '$.tag_name') AS tag_name, json_extract_string(j, '$.element_id') AS element_id,
+    "p6_nodes": f"""{TREE} SELECT dom_id, path AS node, parent, json_extract_string(j, '$.tag_name') AS tag_name, json_extract_string(j, '$.element_id') AS element_id,
         json_extract_string(j, '$.text_content') AS text_content, CAST(json_extract(j, '$.depth') AS INTEGER) AS depth FROM n""",
-    "p6_attributes": f"""{_TREE} SELECT dom_id, path AS node, k AS name, json_extract_string(o, '$."' || k || '"') AS value FROM a WHERE json_type(o, '$."' || k || '"') <> 'NULL'""",
-    "p6_boxes": f"""{_TREE} SELECT dom_id, path AS node, TRY_CAST(json_extract_string(o, '$.x') AS DOUBLE) AS x, TRY_CAST(json_extract_string(o, '$.y') AS DOUBLE) AS y,
+    "p6_attributes": f"""{TREE} SELECT dom_id, path AS node, k AS name, json_extract_string(o, '$."' || k || '"') AS value FROM a WHERE json_type(o, '$."' || k || '"') <> 'NULL'""",
+    "p6_boxes": f"""{TREE} SELECT dom_id, path AS node, TRY_CAST(json_extract_string(o, '$.x') AS DOUBLE) AS x, TRY_CAST(json_extract_string(o, '$.y') AS DOUBLE) AS y,
         TRY_CAST(json_extract_string(o, '$.width') AS DOUBLE) AS width, TRY_CAST(json_extract_string(o, '$.height') AS DOUBLE) AS height FROM b""",
     "p2_found": f"""
         WITH l AS (SELECT {_DOMAIN} AS domain, count(*) AS n FROM links GROUP BY 1),

@@ -25,10 +25,6 @@ def _errors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fetch_errors").dropDuplicates(["error_id"])
 
 
-def _bucket():
-    return F.date_trunc("hour", "ts")
-
-
 def crawl_domain_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.domain_metrics(_events(spark, d))
 
@@ -40,11 +36,11 @@ def crawl_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def running_success_rate(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.running_success_rate(_events(spark, d), ORDER, _bucket())
+    return metrics.running_success_rate(_events(spark, d), ORDER)
 
 
 def moving_avg_100(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.moving_average(_events(spark, d).where("ok"), ORDER, _bucket())
+    return metrics.moving_average(_events(spark, d).where("ok"), ORDER)
 
 
 def last_events(spark: SparkSession, d: str) -> DataFrame:
@@ -88,9 +84,15 @@ def robots_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metrics_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshot's rows with what their JSON holds."""
     e = _events(spark, d)
     s = metrics.snapshot(metrics.domain_metrics(e), metrics.summary(e, F.lit(False)), F.lit("2025-01-01T00:00:00"))
-    return s.select("timestamp", F.length("snapshot").alias("size"))
+    at = lambda c, kind: F.get_json_object("snapshot", f"$.{c}").cast(kind).alias(c)
+    return s.select("timestamp", "section", "subject", at("pages_crawled", "bigint"), at("success_rate", "double"), at("avg_response_time", "double"))
+
+
+def snapshot_history(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.snapshot_history(_events(spark, d), ORDER, 5)
 
 
 def system_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +112,7 @@ def retry_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 def adaptive_delay(spark: SparkSession, d: str) -> DataFrame:
     """Logarithm of the delay, as delays grow by powers."""
-    r = policy.adaptive_delay_closed(_events(spark, d), ORDER, _bucket())
+    r = policy.adaptive_delay_closed(_events(spark, d), ORDER)
     return r.select("domain", F.round(F.ln("crawl_delay"), 6).alias("log_delay"), F.col("requests").cast("long").alias("requests"))
 
 
@@ -121,7 +123,7 @@ def breaker_states(spark: SparkSession, d: str) -> DataFrame:
 
 def politeness_schedule(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).where("ts IS NOT NULL")
-    r = policy.politeness_schedule(e, F.unix_micros(F.col("ts").cast("timestamp")) / 1000000, F.lit(1.0), ORDER, _bucket())
+    r = policy.politeness_schedule(e, F.unix_micros(F.col("ts").cast("timestamp")) / 1000000, F.lit(1.0), ORDER)
     return r.select("event_id", F.round("start", 3).alias("start"))
 
 
@@ -139,14 +141,14 @@ def robots_policy(spark: SparkSession, d: str) -> DataFrame:
 def robots_gate(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "links").where("url IS NOT NULL").select("url", urls.domain("url").alias("domain")).distinct()
     dom = u.select("domain").distinct().withColumn("robots_txt", F.when(F.length("domain") % 2 == 0, "User-agent: *\nDisallow: /archive\n"))
-    return policy.robots_gate(u, dom, ["umber-notes.example"]).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return policy.robots_gate(u, dom, ["umber-notes.example"]).select("url", "can_crawl", "reason")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         crawl_domain_metrics, crawl_summary, running_success_rate, moving_avg_100, last_events, last10_by_domain, domain_rates, error_summary, failed_urls,
-        errors_after_reset, final_report, usable_pages, robots_requests, metrics_snapshot, system_metrics, error_classes, retry_schedule, adaptive_delay, breaker_states,
+        errors_after_reset, final_report, usable_pages, robots_requests, metrics_snapshot, snapshot_history, system_metrics, error_classes, retry_schedule, adaptive_delay, breaker_states,
         politeness_schedule, robots_policy, robots_gate,
     )
 }
@@ -218,3 +220,15 @@ SQL["final_report"] = f"""
       UNION ALL SELECT 'efficiency', 'crawl', unnest({report.EFFICIENCY}), unnest([{", ".join(report.EFFICIENCY)}]::DOUBLE[]) FROM s
       UNION ALL SELECT 'domain', domain, unnest({report.DOMAIN}), unnest([{", ".join(report.DOMAIN)}]::DOUBLE[]) FROM m)
     SELECT section, subject, name, value FROM r"""
+
+SQL["metrics_snapshot"] = f"""
+    WITH m AS ({SQL["crawl_domain_metrics"]}), {_E}, a AS (SELECT count(*) FILTER (ok) AS n, count(*) FILTER (NOT ok) AS err, avg(response_time) FILTER (ok) AS rt FROM e)
+    SELECT '2025-01-01T00:00:00' AS timestamp, 'domain' AS section, domain AS subject, pages_crawled, success_rate, avg_response_time FROM m
+    UNION ALL SELECT '2025-01-01T00:00:00', 'crawl', '', n, round(n * 100.0 / nullif(n + err, 0), 6), round(rt, 6) FROM a"""
+SQL["snapshot_history"] = f"""
+    WITH {_E}, r AS (SELECT row_number() OVER w AS at_event, count(*) FILTER (ok) OVER w AS pages, count(*) FILTER (NOT ok) OVER w AS errors, coalesce(sum(content_length) FILTER (ok) OVER w, 0) AS characters FROM e WINDOW w AS (ORDER BY ts NULLS FIRST, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT at_event, pages, errors, CAST(characters AS BIGINT) AS characters FROM r WHERE at_event % 5 = 0 ORDER BY at_event DESC LIMIT 100"""
+SQL["robots_gate"] = """
+    WITH u AS (SELECT DISTINCT url, lower(regexp_extract(url, '^(?:[^:/?#]+:)?(?://([^/?#]*))?', 1)) AS domain FROM links WHERE url IS NOT NULL),
+    r AS (SELECT url, CASE WHEN domain = 'umber-notes.example' THEN 'Domain umber-notes.example is blocked' WHEN length(domain) % 2 = 0 AND starts_with(regexp_extract(url, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1), '/archive') THEN 'URL blocked by robots.txt' ELSE 'OK' END AS reason FROM u)
+    SELECT url, reason = 'OK' AS can_crawl, reason FROM r"""
