@@ -231,37 +231,81 @@ def test_domain_scores_equal_the_fold(spark):
 # --- frontier
 
 
-def simulate(graph, seeds, limit):
+def test_replay_is_the_sequential_crawl(spark):
+    rng = random.Random(3)
+    names = [f"https://h{i % 3}.example/{i}" for i in range(14)]
+    graph = {u: rng.sample(names, 3) for u in names[:11]}
+    p = spark.createDataFrame(list(graph.items()), "url string, links array<string>")
+    cfg = CrawlConfig(seeds=(names[0],), max_pages=6, graph=GraphConfig(mode=Mode.FOCUSED))
+    r = frontier.replay(p, cfg, 1).orderBy("round").collect()
+    assert [x.url for x in r] == [u for u, _ in crawl_by_rules({u: (x, None) for u, x in graph.items()}, cfg)]
+
+
+def crawl_by_rules(pages, cfg):
+    """A sequential crawl by the rules, one page at a time: pages is {url: (links, content)}."""
     import heapq
 
-    heap = [(-frontier.SEED_PRIORITY, s) for s in seeds]
+    g = cfg.graph
+    host = lambda u: u.split("/")[2]
+    heap = [(-frontier.SEED_PRIORITY, s) for s in cfg.seeds]
     heapq.heapify(heap)
-    queued, seen, out, depth = set(seeds), set(), [], {s: 0 for s in seeds}
-    while heap and len(out) < limit:
-        p, u = heapq.heappop(heap)
+    queued, visited, canon, contents, out = set(cfg.seeds), set(), set(), set(), []
+    seeds = {host(s) for s in cfg.seeds}
+    known, scores, depth = set(seeds), {}, {s: 0 for s in cfg.seeds}
+    while heap and len(out) < cfg.max_pages:
+        _, u = heapq.heappop(heap)
         queued.discard(u)
-        if u in seen:
+        c = u.rstrip("/").replace("//www.", "//")
+        if c in canon:
             continue
-        seen.add(u)
-        out.append(u)
-        for v in graph.get(u, []) if depth[u] < 3 else []:
-            d = depth[u] + 1
-            w = 100 + (150 if v.split("/")[2] == u.split("/")[2] else 0) - 50 * d + 50
-            if w > 0 and v not in queued and v not in seen:
+        canon.add(c)
+        links_of, content = pages.get(u, ([], None))
+        if content is not None:
+            if content in contents:
+                continue
+            contents.add(content)
+        found, now = [], depth.get(u, 0)
+        for v in links_of if now < g.max_depth else []:
+            d = host(v)
+            if d in g.blocked or g.mode == Mode.SINGLE_DOMAIN and d not in seeds or g.mode == Mode.WHITELIST and d not in g.allowed:
+                continue
+            if g.mode in (Mode.CROSS_DOMAIN, Mode.GRAPH):
+                if len(known) >= g.max_domains and d not in known or d not in seeds and scores.get(d, 0.0) < g.min_domain_score:
+                    continue
+            p = 100 + (100 if g.mode == Mode.WHITELIST and d in g.allowed else 0) + (150 if d == host(u) else 0) - 50 * (now + 1) + 50
+            if p <= 0:
+                continue
+            known.add(d)
+            scores[d] = scores.get(d, 0.0) * 0.9 + p / 1000 * (2 if host(u) in seeds else 1)
+            depth[v] = now + 1
+            found.append((p, v))
+        for p, v in sorted(found, key=lambda x: -x[0]):
+            if v not in queued and v not in visited:
                 queued.add(v)
-                depth[v] = d
-                heapq.heappush(heap, (-w, v))
+                heapq.heappush(heap, (-p, v))
+        visited.add(u)
+        out.append((u, now))
     return out
 
 
-def test_replay_is_the_sequential_crawl(spark):
-    rng = random.Random(3)
-    names = [f"https://h{i % 3}.example/{i}" for i in range(14)]
-    graph = {u: rng.sample(names, 3) for u in names[:11]}
-    p = spark.createDataFrame(list(graph.items()), "url string, links array<string>")
-    cfg = CrawlConfig(seeds=(names[0],), max_pages=6, graph=GraphConfig(mode=Mode.FOCUSED))
-    r = frontier.replay(p, cfg, 1).orderBy("round").collect()
-    assert [x.url for x in r] == simulate(graph, [names[0]], 6)
+@pytest.mark.parametrize("mode,low,cap", [("single_domain", 0.1, 9), ("cross_domain", 0.0, 3), ("cross_domain", 0.1, 9), ("graph", 0.0, 2), ("whitelist", 0.1, 9), ("focused", 0.1, 1)])
+def test_replay_follows_the_rules_of_each_mode(spark, mode, low, cap):
+    rng = random.Random(len(mode) + cap)
+    names = [f"https://{'www.' if i % 7 == 3 else ''}h{i % 5}.example/{i // 2 if i % 3 else i}{'/' if i % 4 == 1 else ''}" for i in range(24)]
+    names = list(dict.fromkeys(names))
+    pages = {u: (rng.sample(names, 4), rng.choice([f"c{i}", f"c{i}", "same"])) for i, u in enumerate(names[:20])}
+    g = GraphConfig(mode=Mode.of(mode), max_domains=cap, min_domain_score=low, allowed=frozenset({"h1.example", "h2.example"}), blocked=frozenset({"h4.example"}))
+    cfg = CrawlConfig(seeds=(names[0], names[5]), max_pages=8, graph=g)
+    df = spark.createDataFrame([(u, x, c) for u, (x, c) in pages.items()], "url string, links array<string>, content_key string")
+    got = [(r.url, r.depth) for r in frontier.replay(df, cfg, 1).orderBy("round").collect()]
+    assert got == crawl_by_rules(pages, cfg)
+
+
+def test_replay_asks_robots(spark):
+    p = spark.createDataFrame([("https://a.example/1", ["https://a.example/x/2", "https://a.example/3"])], "url string, links array<string>")
+    robots = spark.createDataFrame([("a.example", "User-agent: *\nDisallow: /x\n")], "domain string, robots_txt string")
+    cfg = CrawlConfig(seeds=("https://a.example/1",), max_pages=5)
+    assert sorted(r.url for r in frontier.replay(p, cfg, 2, robots=robots).collect()) == ["https://a.example/1", "https://a.example/3"]
 
 
 # --- policy

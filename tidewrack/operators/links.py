@@ -89,15 +89,17 @@ def admission(cfg: GraphConfig, domain: Column, seeds: list[str], discovered: Co
     return out.otherwise(F.struct(F.lit(True).alias("accepted"), F.lit("OK").alias("reason")))
 
 
-def page_edges(pages: DataFrame, cfg: GraphConfig, depth: Column, url: str = "url", links: str = "links", content: str | None = None) -> DataFrame:
+def page_edges(pages: DataFrame, cfg: GraphConfig, depth: Column, url: str = "url", links: str = "links", content: str | None = None, order: str | None = None) -> DataFrame:
     """Scored edges of pages(url, links): targets resolved, of pages above the depth limit, with
-    scheme and host, and a priority above 0. position keeps the order on the page."""
-    keep = [F.col(url).alias("source_url"), depth.alias("_d"), *([F.col(content).alias("_content")] if content else [])]
+    scheme and host, and a priority above 0. position keeps the order on the page, and the column `order`
+    of the pages, if one is named, theirs."""
+    more = [order] if order else []
+    keep = [F.col(url).alias("source_url"), depth.alias("_d"), *more, *([F.col(content).alias("_content")] if content else [])]
     e = pages.where(depth < cfg.max_depth).select(*keep, F.posexplode(links).alias("position", "href"))
     e = e.withColumn("url", urls.resolve("source_url", "href"))
     e = e.where((urls.part("url", 1) != "") & (urls.authority("url") != "")).withColumns({"domain": urls.domain("url"), "depth": F.col("_d") + 1})
     p = priority(cfg, F.col("url"), F.col("source_url"), F.col("domain"), F.col("depth"), None, F.col("_content") if content else None)
-    return e.withColumn("priority", p).where("priority > 0").select("source_url", "url", "domain", "depth", "position", "priority")
+    return e.withColumn("priority", p).where("priority > 0").select("source_url", "url", "domain", "depth", "position", "priority", *more)
 
 
 def domain_link_counts(links: DataFrame) -> DataFrame:

@@ -24,9 +24,11 @@ class Crawl:
     def __init__(self, spark: SparkSession, cfg: CrawlConfig, stages: dict[str, Stage]):
         self.spark, self.cfg, self.stages = spark, cfg, stages
 
-    def plan(self, stored: DataFrame, batch: int = 1) -> DataFrame:
-        """Visit stored pages(url, links, content) best first, then run the stages over the visited."""
-        visited = frontier.replay(stored.select("url", "links"), self.cfg, batch)
+    def plan(self, stored: DataFrame, batch: int = 1, robots: DataFrame | None = None) -> DataFrame:
+        """Visit stored pages(url, links, content) best first, then run the stages over the visited. With
+        content deduplication pages whose content was seen aren't visited."""
+        source = stored.select("url", "links", html.content_hash(F.col("content")).alias("content_key")) if "content" in self.stages else stored.select("url", "links")
+        visited = frontier.replay(source, self.cfg, batch, robots=robots)
         d = visited.join(stored, "url", "left")
         for s in self.stages.values():
             d = d.transform(s)
