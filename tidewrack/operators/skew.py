@@ -42,16 +42,17 @@ def eager_join_aggregate(
     column c its sum over the rows of the join (join_sum_l_c, join_sum_r_c) and its sum over its
     own side (l_sum_c, r_sum_c). Null keys join nothing; with how="full" they and keys of one side
     come out with 0 for the other side's counts. Empty inputs give an empty result. Sums of
-    integers are exact BIGINTs. Column names of the inputs may clash; only the named columns are
+    integers are exact BIGINTs, and what is multiplied is DECIMAL(38, 0). Column names of the inputs may clash; only the named columns are
     read.
     """
     ls = key_states(left, left_key, name, left_sums, "l_")
     rs = key_states(right, right_key, name, right_sums, "r_")
     j = ls.join(rs, name, how)
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    j = j.withColumns({"l_n": n("l_n"), "r_n": n("r_n")}).withColumn("pairs", F.col("l_n") * F.col("r_n"))
-    extra = {f"join_sum_l_{c}": F.col(f"l_sum_{c}") * F.col("r_n") for c in left_sums}
-    extra |= {f"join_sum_r_{c}": F.col(f"r_sum_{c}") * F.col("l_n") for c in right_sums}
+    wide = lambda c: c.cast("decimal(20,0)")
+    j = j.withColumns({"l_n": n("l_n"), "r_n": n("r_n")}).withColumn("pairs", wide(F.col("l_n")) * wide(F.col("r_n")))
+    extra = {f"join_sum_l_{c}": wide(F.col(f"l_sum_{c}")) * wide(F.col("r_n")) for c in left_sums}
+    extra |= {f"join_sum_r_{c}": wide(F.col(f"r_sum_{c}")) * wide(F.col("l_n")) for c in right_sums}
     return j.withColumns(extra) if extra else j
 
 

@@ -14,9 +14,9 @@ from tidewrack.session import table
 def p2_domain_rollup(spark: SparkSession, d: str) -> DataFrame:
     r = skew.domain_rollup(table(spark, d, "links"), table(spark, d, "domain_metrics"))
     return r.select(
-        "domain", F.col("l_n").alias("n_links"), F.col("r_n").alias("n_snapshots"), "pairs",
+        "domain", F.col("l_n").alias("n_links"), F.col("r_n").alias("n_snapshots"), F.col("pairs").cast("long").alias("pairs"),
         F.col("l_sum_priority").alias("priority"), F.col("r_sum_pages_crawled").alias("pages"),
-        F.col("join_sum_l_priority").alias("joined_priority"), F.col("join_sum_r_pages_crawled").alias("joined_pages"),
+        F.col("join_sum_l_priority").cast("long").alias("joined_priority"), F.col("join_sum_r_pages_crawled").cast("long").alias("joined_pages"),
     )
 
 
