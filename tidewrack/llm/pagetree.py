@@ -15,7 +15,6 @@ CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 UNSEEN = frozenset("script style template head title".split())
-SPACE = re.compile(r"\s+")
 
 
 @dataclass(slots=True)
@@ -87,7 +86,7 @@ def mend_lines(page: Page) -> Page:
 
 
 def _bare(text: str) -> str:
-    return SPACE.sub("", text)
+    return "".join(text.split())
 
 
 def _find_nodes(whole: str, starts: list[int], want: str, first: int) -> tuple[int, int] | None:

@@ -25,4 +25,4 @@ def word_rows(common_words: DataFrame) -> list[tuple[str, str]]:
 
 
 def width(text: str) -> int:
-    return len(text) + 2 * len(WIDE.findall(text))
+    return len(text) if text.isascii() else len(text) + 2 * len(WIDE.findall(text))

@@ -55,12 +55,13 @@ def features(page: Page, source: str, common: dict[str, frozenset[str]]) -> tupl
     if not n:
         return None
     lang = language(source)
-    wide = len(IDEOGRAPH.findall(text))
+    wide = 0 if text.isascii() else len(IDEOGRAPH.findall(text))
     everything = common[""]
     if wide > 0.3 * len(text):
         function = min(1.0, 3 * len(PARTICLES.findall(text)) / wide)
     else:
-        function = max((sum(w in own for w in words) for k, own in common.items() if k), default=0) / n
+        count = Counter(words)
+        function = max((sum(map(count.__getitem__, own & count.keys())) for k, own in common.items() if k), default=0) / n
     # single letters are what elision leaves of function words
     content = [w for w in words if len(w) > 1 and w not in everything]
     top = max(Counter(content).values(), default=0) / max(len(content), 1)
