@@ -98,7 +98,7 @@ def calibrated(measured: DataFrame) -> DataFrame:
     have sentences, each within fixed ends. There are at most as many languages as two letters can
     name, so their bounds are broadcast."""
     text = "words >= 60 AND per_stop < 60 AND function > 0"
-    aggs = [F.expr(f"percentile_approx(IF({text}, {f}, NULL), {q}, 1000)").alias(k) for k, (f, q, *_) in BOUNDS.items()]
+    aggs = [F.expr(f"percentile_approx(IF({text}, {f}, NULL), {q}, 10000)").alias(k) for k, (f, q, *_) in BOUNDS.items()]
     whole = measured.agg(F.struct(*aggs)).scalar()
     own = measured.groupBy("lang").agg(F.count_if(F.expr(text)).alias("_n"), *aggs).withColumn("_all", whole)
     value = lambda k: F.when(F.col("_n") >= KNOWN, F.col(k)).otherwise(F.col(f"_all.{k}"))
