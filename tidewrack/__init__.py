@@ -1,3 +1,8 @@
 """tidewrack: set-oriented analytics over crawled web data, on PySpark."""
 
-__version__ = "0.1.0"
+from tidewrack.config import CrawlConfig, GraphConfig, Mode, PolicyConfig, RetryConfig
+from tidewrack.plans.builder import Crawl, CrawlBuilder
+from tidewrack.session import clean, make_session, ship, store, table
+
+__all__ = ["Crawl", "CrawlBuilder", "CrawlConfig", "GraphConfig", "Mode", "PolicyConfig", "RetryConfig", "clean", "make_session", "ship", "store", "table"]
+__version__ = "0.2.0"

@@ -25,6 +25,9 @@ TRACKING = [
     "igshid", "ncid", "sr_share", "recruiter", "trk",
 ]
 
+# Parameters that name what a page shows; they are kept, as all others are.
+MEANINGFUL = ["id", "page", "p", "offset", "limit", "sort", "order", "category", "tag", "search", "q", "query", "filter"]
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
