@@ -88,3 +88,9 @@ def test_progress_log(spark, sf, tmp_path):
     for i in range(9):
         log._add({"i": i})
     assert log.table(spark).count() == 5
+
+
+def test_public_names():
+    import tidewrack
+
+    assert tidewrack.CrawlBuilder is CrawlBuilder and all(getattr(tidewrack, n) for n in tidewrack.__all__)
