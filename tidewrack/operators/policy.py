@@ -189,12 +189,15 @@ def breaker_states(events: DataFrame, order: list[str], seconds: str, ok: str, c
     result = "struct<state: string, failures: int, last: double, refused: bigint, added: boolean>"
 
     def summarise(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # all keys of a run at once: most keys have few events
         pdf = pdf.sort_values(names, na_position="first", kind="stable")
-        starts, at, tries = _run_summary(pdf["t"].tolist(), [bool(x) for x in pdf["ok"]], cfg)
-        fields = ("state", "failures", "last", "refused", "added")
-        return pd.DataFrame({"k": [group[0]], "_b": [group[1]], "n": [len(pdf)], "starts": [[dict(zip(fields, x)) for x in starts]], "at": [at], "tries": [[dict(zip(fields, x)) for x in tries]]})
+        fields, out = ("state", "failures", "last", "refused", "added"), []
+        for k, part in pdf.groupby("k", sort=False):
+            starts, at, tries = _run_summary(part["t"].tolist(), part["ok"].astype(bool).tolist(), cfg)
+            out.append((k, group[0], len(part), [dict(zip(fields, x)) for x in starts], at, [dict(zip(fields, x)) for x in tries]))
+        return pd.DataFrame(out, columns=["k", "_b", "n", "starts", "at", "tries"])
 
-    per = r.groupBy("k", "_b").applyInPandas(summarise, f"k {kind}, _b int, n bigint, starts array<{result}>, at array<double>, tries array<{result}>")
+    per = r.groupBy("_b").applyInPandas(summarise, f"k {kind}, _b int, n bigint, starts array<{result}>, at array<double>, tries array<{result}>")
     folded = per.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("_b", "n", "starts", "at", "tries"))).alias("runs"))
     zero = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("bigint").alias("refused"))
 
