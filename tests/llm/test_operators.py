@@ -280,6 +280,38 @@ def test_blank_slots_of_a_text_are_induced(spark, common):
     assert 50 in [r.fetch_id for r in templates.find_residue(pages, common).collect()]
 
 
+@pytest.mark.parametrize("more", [0, 1, 6, 60])
+def test_slots_are_induced_in_texts_of_any_length(spark, common, more):
+    tail = " ".join("Here the keeper of the weir was in the garden with a lantern, as on all days." for _ in range(more))
+    greet = lambda name, place: page(f'<main>\n<p class="hi">Hello {name}, welcome to the pages of {place}, where you are glad to be. {tail}</p>\n</main>', nav=False)
+    names = "Anna Ben Cora Dan Eve Finn Gus Hal Ida Jon Kim".split()
+    told = [(s, i, greet(n, f"{n}{s}town")) for s in "abc" for i, n in enumerate(names)] + [("a", 50, greet("", ""))] + [(s, 60, greet("Newcomer", "Anytown")) for s in "abc"]
+    df = spark.createDataFrame([fetch(100 * "abc".index(s) + i, f"https://{s}.example/{i}", h, lines_of(h), f"Page {s} of {i}") for s, i, h in told], FETCH)
+    from tidewrack.llm.pages import TEMPLATE, read_pages
+
+    assert sorted(r.id for r in templates.unfilled_slots(read_pages(df, common, parts=TEMPLATE)).collect()) == [50, 60, 160, 260]
+    got = {r.fetch_id for r in templates.find_residue(df, common).collect()}
+    assert {50, 60, 160, 260} <= got
+    assert not got & {r.fetch_id for r in main_content.find_main_lines(df, common).collect()}
+
+
+def test_articles_have_no_unfilled_slots(spark, common):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bcdfghjklmnprstvw") for _ in range(6))
+    story = lambda: [" ".join(f"The {word()} of the {word()}, and the {word()}, was in the {word()}." for _ in range(5)) for _ in range(4)]
+    paragraphs = lambda body: "".join(f"<p>{x}</p>\n" for x in body)
+    copied, rows = story(), []
+    for k, s in enumerate("abcd"):
+        for i in range(6):  # the last three are copies, on one site and on four
+            h = page(f"<main>\n<h1>The {word()}</h1>\n{paragraphs(story() if i < 3 else copied)}</main>")
+            rows.append(fetch(100 * k + i, f"https://{s}.example/x/{i}", h, lines_of(h)))
+        for i in range(10, 14):  # an article beside its head, whose subtitle was left as it was
+            sub = "Subtitle of the story, here" if i == 13 else f"Subtitle of the {word()}, {word()} {word()}"
+            h = page(f'<header-box class="top">\n<h1>A {word()}</h1>\n<p>{sub}</p>\n</header-box>\n<main>\n{paragraphs(story())}</main>')
+            rows.append(fetch(100 * k + i, f"https://{s}.example/y/{i}", h, lines_of(h)))
+    assert templates.find_residue(spark.createDataFrame(rows, FETCH), common).count() == 0
+
+
 def test_flat_pages_and_parts_without_a_class():
     flat = f"<html><body>\n<h1>Head</h1>\n<p>{ARTICLE}</p>\n<p>{ARTICLE} Again, it was so, and so on.</p>\n<p>{ARTICLE} And more, as before.</p>\n</body></html>"
     p = pagetree.read_page(flat, lines_of(flat))

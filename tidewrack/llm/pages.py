@@ -24,8 +24,8 @@ SOURCE = ["id", "url", "title", "html", "text"]
 
 def read_pages(fetches: DataFrame, common_words: DataFrame, id_col: str = "fetch_id", parts: int = BODY | TEMPLATE | SPAM) -> DataFrame:
     """(id, has_content, has_html, has_text, and the columns of the parts): one row per fetch with content
-    or text. With TEMPLATE `page` is a number that copies of an article, and else spellings of an address,
-    have in common.
+    or text. With TEMPLATE `address` is a number that spellings of an address have in common, and `page` one that
+    copies of an article have, else the address.
 
     fetches needs id_col, url, content, parsed_data (title, html, text_content); nulls count as empty.
     Each page is parsed once, without a shuffle. To use several operators on one corpus store the result
@@ -62,6 +62,6 @@ def read_pages(fetches: DataFrame, common_words: DataFrame, id_col: str = "fetch
 
     read = spread(source).mapInArrow(run, schema)
     if parts & TEMPLATE:
-        address = F.xxhash64(F.regexp_replace(urls.canonical("url"), "^https?:", ""))
-        read = read.withColumn("page", F.coalesce("article", address))
+        read = read.withColumn("address", F.xxhash64(F.regexp_replace(urls.canonical("url"), "^https?:", "")))
+        read = read.withColumn("page", F.coalesce("article", "address"))
     return read.drop("url")

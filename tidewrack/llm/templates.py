@@ -4,7 +4,7 @@ Records are aligned by their lines: what a line takes from its own record (addre
 codes, site name, numbers) is a slot, the rest the template. A line that many pages share and that
 hardly occurs beside content of a page's own is a whole-page error or script notice. The copies of an
 article under several addresses are one page, and so are the spellings of one address. The titles of a
-site are aligned with each other, and so are lines of its short texts, which induces their slots too.
+site are aligned with each other, and so are lines of its main texts, which induces their slots too.
 Slots that are blank, that hold a variable's name or what other records hold as well, and texts made of
 filler words, are unfilled.
 """
@@ -12,6 +12,7 @@ filler words, are unfilled.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -110,7 +111,7 @@ def is_filler(text: str, common: frozenset[str]) -> bool:
 
 #: What TEMPLATE of read_pages() has of a page.
 _LINE = [("template", T.LongType()), ("named", T.BooleanType()), ("own", T.BooleanType())]
-_SLOT = [("key", T.LongType()), ("words", T.ArrayType(T.StringType())), ("share", T.DoubleType())]
+_SLOT = [("key", T.LongType()), ("words", T.ArrayType(T.LongType())), ("share", T.DoubleType())]
 _rows = lambda fields: T.ArrayType(T.StructType([T.StructField(*f) for f in fields]))
 RECORD = T.StructType([
     T.StructField("site", T.StringType()), T.StructField("title", T.StringType()), T.StructField("title_flag", T.BooleanType()), T.StructField("title_fits", T.BooleanType()),
@@ -122,12 +123,39 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - 2**63
 
 
+#: Of a coded word the lowest bits: is it a word (else a sign), is it a frequent one; above them these bits
+#: count its occurrences in the line, and the rest is its hash.
+WORD, FREQUENT, TIMES = 1, 2, (2**20 - 1) << 2
+HASH = 22
+
+
+@lru_cache(1 << 16)
+def code_of(word: str, common: frozenset[str]) -> int:
+    return hash_of(word) >> HASH << HASH | WORD * bool(re.search(r"\w", word)) | FREQUENT * (word in common)
+
+
+def coded(found: list[str], common: frozenset[str]) -> list[int]:
+    """tokens() as numbers, of which no two are equal."""
+    last: dict[str, int] = {}
+    out = []
+    for w in found:
+        c = last.get(w)
+        if c is None:
+            c = code_of(w, common)
+        elif c & TIMES != TIMES:
+            c += TIMES & -TIMES
+        last[w] = c
+        out.append(c)
+    return out
+
+
 def read_record(url: str, title: str, page: Page, common: frozenset[str]) -> tuple:
     """The values of RECORD: the site, the title, does it hold a variable, does it begin with a line of
     the page, is the main text unfilled or filler; the lines as (hash of the template, names its own
     address, could be content of the page's own); the hash of an article's longest line, the same for all
-    its copies, and None for texts shorter than ARTICLE; and of those the words of the main text's lines
-    with the share of it that they make up, keyed by site, element and first word."""
+    its copies, and None for texts shorter than ARTICLE; and of main texts of any length the coded words of the
+    lines with the share that they make up of it and of sentences elsewhere, keyed by site, element and
+    first word."""
     address = re.sub(r"^\w+://", "", url.lower())
     own, site = set(PART.findall(address)), re.sub(r"^www\.", "", address.split("/")[0])
     spaces = areas(page)
@@ -142,6 +170,7 @@ def read_record(url: str, title: str, page: Page, common: frozenset[str]) -> tup
         fill = sum(len(r) for r in rows if is_filler(r, common))
         empty_text = empty + fill >= 0.5 * size
     lines = []
+    beside = 0
     sentences: dict[int, int] = {}
     for a in spaces.values():
         article = a.headline or not a.aside and a.linked <= 0.4 * a.size and sum(bool(SENTENCE.search(texts[i])) for i in a.lines) >= 3
@@ -155,13 +184,14 @@ def read_record(url: str, title: str, page: Page, common: frozenset[str]) -> tup
                 lines.append((template, named, article and not named and n >= OWN_WIDTH))
                 if lines[-1][2] and SENTENCE.search(texts[i]):
                     sentences[template] = n
+                    beside += 0 if a is main else len(texts[i])
     longest = max(sentences, key=lambda t: (sentences[t], t)) if sum(sentences.values()) >= ARTICLE else None
     slots = []
-    if main is not None and longest is None and size < ARTICLE:
+    if main is not None:
         for i in main.lines:
             found, e = tokens(texts[i]), page.elements[page.lines[i].block]
             if len(found) >= CONSTANTS:
-                slots.append((hash_of(f"{site} {e.tag}.{e.name} {found[0]}"), found, len(texts[i]) / size))
+                slots.append((hash_of(f"{site} {e.tag}.{e.name} {found[0]}"), coded(found, common), len(texts[i]) / (size + beside)))
     head = " ".join(title.lower().split())
     fits = bool(head) and any(len(x) > 1 and head.startswith(x) for x in (" ".join(t.lower().split()) for t in texts))
     return site, title, names_variable(title), fits, empty_text, lines, longest, slots
@@ -181,22 +211,30 @@ def template_pages(pages: DataFrame) -> DataFrame:
 
 
 def unfilled_slots(pages: DataFrame) -> DataFrame:
-    """(id): pages of whose short main text half or more is lines with unfilled slots.
+    """(id): pages of whose main text, whatever its length, half or more is lines with unfilled slots.
 
     Lines of one site that stand in the same kind of element and begin alike are aligned: words that
-    nearly all of them hold are the template, what is left of a line is its slots. A line is unfilled if
-    its slots are blank where most lines have something in them, or hold a default, which is what lines
-    of several sites hold."""
-    s = pages.select("id", "page", "site", F.explode("slots").alias("s")).select("id", "page", "site", "s.key", "s.words", "s.share")
-    n = s.select("key", "page").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ADDRESSES)
-    held = s.select("key", "page", F.explode(F.array_distinct("words")).alias("w")).distinct().groupBy("key", "w").agg(F.count(F.lit(1)).alias("c"))
-    # at most as many words as a line has
-    fixed = held.join(n, "key").where(F.col("c") >= NEARLY_ALL * F.col("n")).groupBy("key").agg(F.collect_set("w").alias("fixed")).where(F.size("fixed") >= CONSTANTS)
-    rest = F.filter("words", lambda w: ~F.array_contains("fixed", w) & w.rlike(r"\w"))
-    lines = s.join(fixed, "key").select("id", "key", "site", "share", F.array_join(rest, " ").alias("slot"))
-    open_keys = lines.groupBy("key").agg(F.avg((F.col("slot") != "").cast("int")).alias("filled")).where("filled >= 0.5").select("key")
-    defaults = lines.where("slot <> ''").select("slot", "site").distinct().groupBy("slot").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= ADDRESSES).select("slot")
-    blank = lines.where("slot = ''").join(open_keys, "key", "left_semi").select("id", "share")
+    nearly all of them hold, and as often, are the template, what is left of a line is its slots. A line is
+    unfilled if its slots are blank where most lines have something in them, or hold a default, which is what
+    lines of several sites hold. Where slots have more words than the template, frequent words aside, the copies
+    of an article are one page, as else its paragraphs would be defaults. The aligned lines are stored."""
+    bits = lambda w, mask: w.bitwiseAND(F.lit(mask))
+    telling = lambda w: bits(w, WORD | FREQUENT) == WORD
+    s = pages.select("id", "page", "address", "site", F.explode("slots").alias("s")).select("id", "page", "address", "site", "s.key", "s.words", "s.share")
+    n = s.select("key", "address").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ADDRESSES)
+    held = s.select("key", "address", F.explode("words").alias("w")).distinct().groupBy("key", "w").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= NEARLY_ALL * ADDRESSES)
+    # at most as many words as a page's lines have
+    w = F.col("w")
+    fixed = held.join(n, "key").where(F.col("c") >= NEARLY_ALL * F.col("n")).groupBy("key").agg(F.collect_set(w).alias("fixed"), F.count_if(telling(w)).alias("telling"), F.count_if(bits(w, TIMES) == 0).alias("constants"))
+    fixed = fixed.where(F.col("constants") >= CONSTANTS).drop("constants")
+    lines = s.join(fixed, "key").withColumn("rest", F.filter(F.array_except("words", "fixed"), lambda w: bits(w, WORD) == WORD))
+    unit = F.when(F.size(F.filter("rest", telling)) > F.col("telling"), F.col("page")).otherwise(F.col("address"))
+    slot = F.when(F.size("rest") > 0, F.xxhash64(F.transform("rest", lambda w: F.shiftright(w, HASH))))
+    lines = store(lines.select("id", "key", "site", "share", unit.alias("unit"), slot.alias("slot")))
+    open_keys = lines.groupBy("key").agg(F.avg(F.col("slot").isNotNull().cast("int")).alias("filled")).where("filled >= 0.5").select("key")
+    several = lambda c: lines.where("slot IS NOT NULL").select("slot", c).distinct().groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ADDRESSES).select("slot")
+    defaults = several("site").join(several("unit"), "slot", "left_semi")
+    blank = lines.where("slot IS NULL").join(open_keys, "key", "left_semi").select("id", "share")
     found = blank.unionAll(lines.join(defaults, "slot", "left_semi").select("id", "share"))
     return found.groupBy("id").agg(F.sum("share").alias("share")).where("share >= 0.5").select("id")
 
@@ -230,7 +268,7 @@ def find_residue(fetches: DataFrame, common_words: DataFrame, id_col: str = "fet
     content aren't cases; a null title, html or text counts as empty; repeated rows come out once
     per id. A page with content of its own is a case only for an unfilled title. Lines and titles are
     compared over all rows, each page counted once; the shuffles carry hashes of lines, and words of
-    titles and of short main texts only.
+    titles and of main texts only.
     """
     from tidewrack.llm.pages import TEMPLATE, read_pages  # which uses read_record()
 
